@@ -36,10 +36,10 @@ SIMILAR = 80
 BAND = 1.6
 #: Splits that are tried before a set's empty parts count.
 SPLITS = 4
-#: Groups with more members are large.
-LARGE = 128
-#: Counts in a sketch of a set, by which dissimilar pairs are ruled out before sets are compared.
+#: Counts in a sketch of a set, by which dissimilar pairs of small sets are ruled out before sets are compared.
 SKETCH = 64
+#: Groups with more members are large.
+LARGE = 24
 #: Bits of the filter by which the sets to compare are picked.
 FILTER_BITS = 23
 
@@ -163,13 +163,13 @@ def document_sets(rows: DataFrame, id_type: str) -> DataFrame:
         for batch in blocks(batches, "text"):
             sets = shingle_sets(batch.column("text"))
             both = [digest(s) for s in sets]
-            sketch = [np.bincount((mix(s) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.int32) for s in sets]
+            sketch = [np.minimum(np.bincount((mix(s) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in both], pa.int64()), pa.array([d[1] for d in both], pa.int64()), pa.array(sketch, pa.list_(pa.int32()))],
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in both], pa.int64()), pa.array([d[1] for d in both], pa.int64()), pa.array(sketch, pa.binary())],
                 ["id", "n", "h1", "h2", "sketch"],
             )
 
-    return rows.mapInArrow(run, f"id {id_type}, n long, h1 long, h2 long, sketch array<int>")
+    return rows.mapInArrow(run, f"id {id_type}, n long, h1 long, h2 long, sketch binary")
 
 
 def document_signatures(rows: DataFrame, similar: int) -> DataFrame:
@@ -232,6 +232,21 @@ def wanted_sets(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> Dat
     return sets.dropDuplicates(["h", "h2"]).select("h", "elements")
 
 
+def possible(pairs: DataFrame, info: DataFrame, similar: int) -> DataFrame:
+    """Those of ``pairs`` whose sizes and sketches allow that they are similar: sketches differ at most as much as sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = (np.array([np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()], np.int64).reshape(-1, SKETCH) for c in ("sa", "sb"))
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            near = (100 + similar) * np.abs(sa - sb).sum(1) <= (100 - similar) * (na + nb)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    side = lambda x: info.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {similar} * greatest(na, nb)")
+    return near.mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, rows: DataFrame, similar: int) -> DataFrame:
     """Those of ``pairs`` (a, b: digests) whose sets are similar, by their exact intersection."""
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
@@ -256,36 +271,34 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     classes = sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     info = durable(classes.groupBy(F.col("h1").alias("h")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
+    # groups of two or more different sets; all steps keep the partitioning by signature
     by_sig = Window.partitionBy("sig")
     signed = document_signatures(rows, similar).withColumn("lead", F.min("h").over(by_sig)).withColumn("last", F.max("h").over(by_sig)).filter("lead <> last")
-    signed = durable(signed.withColumn("members", F.count("*").over(by_sig)).drop("last"))
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and sketches allow that they are similar."""
-        a = info.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = info.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        near = pairs.join(a, "a").join(b, "b").filter(f"100 * least(na, nb) >= {similar} * greatest(na, nb)")
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        return near.filter((100 + similar) * apart <= (100 - similar) * (F.col("na") + F.col("nb"))).drop("na", "nb", "sa", "sb")
-
-    # 1. every member against the smallest of its group, the most promising one first
-    stars = signed.filter("h <> lead").groupBy(F.col("lead").alias("a"), F.col("h").alias("b")).agg(F.count("*").alias("shared"))
-    stars = durable(possible(stars))
-    best = stars.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    signed = signed.groupBy("sig", "h").agg(*(F.min(c).alias(c) for c in ("split", "spare", "lead")))
+    signed = durable(signed.withColumn("members", F.count("*").over(by_sig)))
+
+    # 1. every member against that one of its groups' smallest members with which it shares most
+    stars = signed.filter("h <> lead").groupBy(F.col("lead").alias("a"), F.col("h").alias("b")).agg(F.count("*").alias("shared"), F.min("spare").alias("spare"))
+    best = stars.filter("2 * shared > spare").groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    best = durable(possible(best, info, similar))
     edges = durable(verify(best, rows, similar))
-    found = durable(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    labelled = signed.join(found.select(F.col("id").alias("h"), F.col("component").alias("c")), "h", "left").withColumn("c", F.coalesce("c", "h"))
-
-    # 2. what is still apart: other members of a group, and other smallest ones. A set with
-    # enough signatures outside large groups is found there by all that are similar to it.
-    large = signed.filter(F.col("members") > LARGE).groupBy("h", "split").agg(F.countDistinct("sig").alias("n_large"), F.first("spare").alias("more"))
-    needed = large.filter("n_large > more").select("h", "split", F.lit(True).alias("needed"))
-    still = labelled.join(needed, ["h", "split"], "left").filter((F.col("members") <= LARGE) | F.col("needed")).select("sig", "h", "c").distinct()
-    apart = still.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("sig")
-    still = durable(still.join(apart, "sig"))
-    left, right = still.select("sig", F.col("h").alias("a"), F.col("c").alias("ca")), still.select("sig", F.col("h").alias("b"), F.col("c").alias("cb"))
-    pairs = left.join(right, "sig").filter("a < b and ca <> cb").select("a", "b").distinct()
-    more = verify(durable(possible(pairs).join(best, ["a", "b"], "left_anti")), rows, similar)
+    found = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    # 2. all members of a group that are still apart. A set with enough signatures outside
+    # large groups is found there by all that are similar to it. Similar sets differ in k
+    # parts at most, so they share all but k of their signatures; only such pairs go on.
+    large = signed.filter(F.col("members") > LARGE).groupBy("h", "split").agg(F.count("*").cast("int").alias("n_large"))
+    still = signed.join(large, ["h", "split"], "left").withColumn("n_large", F.coalesce("n_large", F.lit(0)))
+    still = still.filter((F.col("members") <= LARGE) | (F.col("n_large") > F.col("spare")))
+    still = still.join(found.select(F.col("id").alias("h"), F.col("component").alias("c")), "h", "left")
+    still = still.select("sig", "h", "split", "spare", "n_large", F.coalesce("c", "h").alias("c")).repartition("sig")
+    still = durable(still.withColumn("c1", F.min("c").over(by_sig)).withColumn("c2", F.max("c").over(by_sig)).filter("c1 <> c2").drop("c1", "c2"))
+    side = lambda x: still.select("sig", *(F.col(k).alias(f"{k}_{x}") for k in ("h", "split", "spare", "n_large", "c")))
+    pairs = side("a").join(side("b"), "sig").filter("h_a < h_b and c_a <> c_b and split_a = split_b")
+    pairs = pairs.groupBy("h_a", "h_b", "split_a").agg(F.count("*").alias("shared"), *(F.max(f"{k}_{x}").alias(f"{k}_{x}") for k in ("spare", "n_large") for x in "ab"))
+    pairs = pairs.filter("shared > greatest(spare_a, spare_b) - least(n_large_a, n_large_b)").select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
+    pairs = pairs.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = verify(durable(possible(pairs, info, similar)), rows, similar)
     edges = edges.select("a", "b").union(more)
 
     # classes to documents: components take the smallest id of all classes in them
