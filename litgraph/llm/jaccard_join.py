@@ -40,6 +40,8 @@ SPLITS = 4
 SKETCH = 64
 #: Groups with more members are large.
 LARGE = 24
+#: Members of a large group that meet in one task.
+MEET = 512
 #: Bits of the filter by which the sets to compare are picked.
 FILTER_BITS = 23
 
@@ -247,6 +249,48 @@ def possible(pairs: DataFrame, info: DataFrame, similar: int) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
+def near_sketches(sa: np.ndarray, na: np.ndarray, sb: np.ndarray, nb: np.ndarray, similar: int) -> np.ndarray:
+    """For all pairs of two sides, whether sizes and sketches allow that they are similar."""
+    out = np.zeros((len(na), len(nb)), bool)
+    for i in range(len(na)):
+        size = na[i] + nb
+        apart = np.abs(sb - sa[i]).sum(1, dtype=np.int64)
+        out[i] = ((100 + similar) * apart <= (100 - similar) * size) & (100 * np.minimum(na[i], nb) >= similar * np.maximum(na[i], nb))
+    return out
+
+
+def meet(members: DataFrame, info: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of large groups' members of different components that may be similar.
+
+    A group is cut into blocks that meet in pairs, one task's work each; pairs are compared
+    by their sketches inside the task, and only those that may be similar come out, from the
+    first large group that both are in.
+    """
+    own = members.groupBy("h").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))  # at most as many as a set has parts
+    blocks_ = F.greatest(F.ceil(F.col("members") / MEET), F.lit(1)).cast("int")
+    dealt = members.select("sig", "h", "c", blocks_.alias("n_blocks"), F.pmod(F.xxhash64("h"), blocks_).cast("int").alias("block"))
+    against = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = dealt.withColumn("m", F.explode(against)).select("sig", "h", "c", "block", F.col("m.i").alias("i"), F.col("m.j").alias("j"))
+    dealt = dealt.join(own.join(info, "h"), "h")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        sig, i, j = (k.as_py() for k in key)
+        h, c, n, block = (group.column(k).to_numpy() for k in ("h", "c", "n", "block"))
+        sketch = np.array([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()], np.int16)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        near = near_sketches(sketch[left], n[left], sketch[right], n[right], similar) & (c[left][:, None] != c[right][None, :])
+        x, y = np.nonzero(near)
+        use = h[left[x]] < h[right[y]] if i == j else np.ones(len(x), bool)
+        a, b = left[x[use]], right[y[use]]
+        lists = group.column("sigs").to_pylist()
+        earlier = {k: {s for s in lists[k] if s < sig} for k in {*a.tolist(), *b.tolist()}}
+        first = np.fromiter((earlier[p].isdisjoint(earlier[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+        a, b = h[a[first]], h[b[first]]
+        return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+
+    return dealt.groupBy("sig", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, rows: DataFrame, similar: int) -> DataFrame:
     """Those of ``pairs`` (a, b: digests) whose sets are similar, by their exact intersection."""
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
@@ -273,32 +317,39 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
 
     # groups of two or more different sets; all steps keep the partitioning by signature
     by_sig = Window.partitionBy("sig")
-    signed = document_signatures(rows, similar).withColumn("lead", F.min("h").over(by_sig)).withColumn("last", F.max("h").over(by_sig)).filter("lead <> last")
-    signed = signed.groupBy("sig", "h").agg(*(F.min(c).alias(c) for c in ("split", "spare", "lead")))
+    signed = document_signatures(rows, similar).withColumn("first", F.min("h").over(by_sig)).withColumn("last", F.max("h").over(by_sig)).filter("first <> last")
+    signed = signed.groupBy("sig", "h").agg(F.min("split").alias("split"), F.min("spare").alias("spare"))
     signed = durable(signed.withColumn("members", F.count("*").over(by_sig)))
 
-    # 1. every member against that one of its groups' smallest members with which it shares most
-    stars = signed.filter("h <> lead").groupBy(F.col("lead").alias("a"), F.col("h").alias("b")).agg(F.count("*").alias("shared"), F.min("spare").alias("spare"))
+    # 1. every member against one hub of its groups, the one with which it shares most. The
+    # hub of a group is the member that shares most signatures with all others: among near
+    # copies, the text that the others were made from.
+    ties = signed.groupBy("h").agg(F.sum("members").alias("ties"))
+    hubs = signed.join(ties, "h").withColumn("hub", F.max(F.struct("ties", "h")).over(by_sig)["h"])
+    stars = hubs.filter("h <> hub").groupBy(F.col("hub").alias("a"), F.col("h").alias("b")).agg(F.count("*").alias("shared"), F.min("spare").alias("spare"))
     best = stars.filter("2 * shared > spare").groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     best = durable(possible(best, info, similar))
     edges = durable(verify(best, rows, similar))
     found = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # 2. all members of a group that are still apart. A set with enough signatures outside
-    # large groups is found there by all that are similar to it. Similar sets differ in k
-    # parts at most, so they share all but k of their signatures; only such pairs go on.
+    # large groups is found there by all that are similar to it, so in a large group only
+    # those meet that have too few. Similar sets differ in k parts at most, so they share
+    # all but k of their signatures; only such pairs go on.
     large = signed.filter(F.col("members") > LARGE).groupBy("h", "split").agg(F.count("*").cast("int").alias("n_large"))
     still = signed.join(large, ["h", "split"], "left").withColumn("n_large", F.coalesce("n_large", F.lit(0)))
     still = still.filter((F.col("members") <= LARGE) | (F.col("n_large") > F.col("spare")))
     still = still.join(found.select(F.col("id").alias("h"), F.col("component").alias("c")), "h", "left")
-    still = still.select("sig", "h", "split", "spare", "n_large", F.coalesce("c", "h").alias("c")).repartition("sig")
+    still = still.withColumn("c", F.coalesce("c", "h")).repartition("sig")
     still = durable(still.withColumn("c1", F.min("c").over(by_sig)).withColumn("c2", F.max("c").over(by_sig)).filter("c1 <> c2").drop("c1", "c2"))
-    side = lambda x: still.select("sig", *(F.col(k).alias(f"{k}_{x}") for k in ("h", "split", "spare", "n_large", "c")))
+    few = still.filter(F.col("members") <= LARGE)
+    side = lambda x: few.select("sig", *(F.col(k).alias(f"{k}_{x}") for k in ("h", "split", "spare", "n_large", "c")))
     pairs = side("a").join(side("b"), "sig").filter("h_a < h_b and c_a <> c_b and split_a = split_b")
     pairs = pairs.groupBy("h_a", "h_b", "split_a").agg(F.count("*").alias("shared"), *(F.max(f"{k}_{x}").alias(f"{k}_{x}") for k in ("spare", "n_large") for x in "ab"))
-    pairs = pairs.filter("shared > greatest(spare_a, spare_b) - least(n_large_a, n_large_b)").select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
+    pairs = pairs.filter("shared > greatest(spare_a, spare_b) - least(n_large_a, n_large_b)").select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+    pairs = possible(pairs.distinct(), info, similar).union(meet(still.filter(F.col("members") > LARGE), info, similar)).distinct()
     pairs = pairs.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = verify(durable(possible(pairs, info, similar)), rows, similar)
+    more = verify(durable(pairs), rows, similar)
     edges = edges.select("a", "b").union(more)
 
     # classes to documents: components take the smallest id of all classes in them
