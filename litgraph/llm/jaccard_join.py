@@ -41,7 +41,7 @@ SKETCH = 64
 #: Groups with more members are large.
 LARGE = 24
 #: Members of a large group that meet in one task.
-MEET = 512
+MEET = 1024
 #: Bits of the filter by which the sets to compare are picked.
 FILTER_BITS = 23
 
@@ -338,7 +338,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     # all but k of their signatures; only such pairs go on.
     large = signed.filter(F.col("members") > LARGE).groupBy("h", "split").agg(F.count("*").cast("int").alias("n_large"))
     still = signed.join(large, ["h", "split"], "left").withColumn("n_large", F.coalesce("n_large", F.lit(0)))
-    still = still.filter((F.col("members") <= LARGE) | (F.col("n_large") > F.col("spare")))
+    # of these it needs all but as many of its largest as it has to spare, in an order all sets agree on
+    largest = F.row_number().over(Window.partitionBy("h", "split").orderBy(F.desc("members"), F.desc("sig")))
+    spared = still.filter((F.col("members") > LARGE) & (F.col("n_large") > F.col("spare"))).withColumn("place", largest).filter("place > spare").drop("place")
+    still = still.filter(F.col("members") <= LARGE).unionByName(spared)
     still = still.join(found.select(F.col("id").alias("h"), F.col("component").alias("c")), "h", "left")
     still = still.withColumn("c", F.coalesce("c", "h")).repartition("sig")
     still = durable(still.withColumn("c1", F.min("c").over(by_sig)).withColumn("c2", F.max("c").over(by_sig)).filter("c1 <> c2").drop("c1", "c2"))
