@@ -1 +1,5 @@
-"""Registered queries over the given tables."""
+"""The given tables as graph tables, and the registered queries over them."""
+
+from . import corpus_queries, registry
+
+__all__ = ["corpus_queries", "registry"]
