@@ -73,7 +73,7 @@ def alias_clusters(pairs: DataFrame, names: DataFrame) -> DataFrame:
 
     ``names`` has id, name, uses and confidence.
     """
-    edges = pairs.select(F.col("id1").alias("source_id"), F.col("id2").alias("target_id"))
+    edges = pairs.select(F.col("id1").alias("source_id"), F.col("id2").alias("target_id"), F.lit("SAME_AS").alias("relationship_type"), F.lit(1.0).alias("weight"))
     members = connected_components(edges).join(names, "id")
     best = members.groupBy("component").agg(F.max_by("id", F.struct("uses", "confidence", F.length("name"), "id")).alias("canonical_id"))
     return members.join(best, "component").select("id", "canonical_id")
