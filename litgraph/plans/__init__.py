@@ -1,5 +1,5 @@
 """The given tables as graph tables, and the registered queries over them."""
 
-from . import corpus_queries, registry
+from . import corpus_queries, overview_queries, registry
 
-__all__ = ["corpus_queries", "registry"]
+__all__ = ["corpus_queries", "overview_queries", "registry"]
