@@ -1,18 +1,19 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-Filter directions form a structured product code: a vector is rotated at random and cut
-into two blocks, each block has its own random unit codewords, and every pair of codewords
-is a direction. Because a direction's score is the sum of two codeword scores, the list of
-all directions that a vector exceeds is decoded by walking the sorted scores, without
-scoring all directions. Vectors are joined on the directions they share and verified by
-exact cosines, block against block.
+Filter directions form structured product codes: for each code a vector is rotated at
+random and cut into two blocks, each block has its own random unit codewords, and every pair
+of codewords is a direction. Because a direction's score is the sum of two codeword scores,
+only codewords that reach the height together with the best of the other block are paired
+when the list of all directions that a vector exceeds is decoded. The directions of one code
+depend on each other, so several codes are rotated independently, as many as it takes until
+pairs right at the threshold are rarely missed. Vectors are joined on the directions they
+share and verified by exact cosines, block against block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, sqrt
-from statistics import NormalDist
+from math import acos, ceil, cos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,47 +25,76 @@ from .common import components, durable
 SIMILAR = 0.9
 #: Vectors that a direction is meant to hold; the cap's height follows from it and the number of vectors.
 LOAD = 256
-#: Directions that a pair right at the threshold shares on average; a pair is missed with probability exp(-SHARED).
+#: Share of the pairs right at the threshold that may be missed; codes are added until PAIRS random ones are missed no more often.
+MISSED = 0.01
+PAIRS = 4000
+#: Directions that such a pair would share on average in CODES codes; they set the number of codewords, the miss rate does not rest on them.
 SHARED = 4.5
+CODES = 32
 #: Vectors of one direction that meet in one task.
 BLOCK = 1024
 
 
+def caps(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles up to a right one, and the share of the sphere in ``size`` dimensions within each of a point."""
+    angle = np.linspace(0, pi / 2, 200_001)
+    density = np.sin(angle) ** (size - 2)
+    share = np.concatenate([[0], np.cumsum(density[1:] + density[:-1])])
+    return angle, share / (2 * share[-1])
+
+
 class CapFilters:
-    """The product code for ``n`` vectors of ``size`` components."""
+    """The product codes for ``n`` vectors of ``size`` components."""
 
     def __init__(self, n: int, size: int, similar: float, seed: int):
-        normal, rng = NormalDist(), np.random.default_rng(seed)
-        held = min(0.02, LOAD / max(n, 1))
-        height = normal.inv_cdf(1 - held)
-        both = 1 - normal.cdf(height * (1 - similar) / sqrt(1 - similar * similar))
-        self.words = max(2, ceil(sqrt(SHARED / (held * both))))
-        self.height = height / sqrt(size)
-        self.rotation = np.linalg.qr(rng.standard_normal((size, size)))[0]
-        self.cut = size // 2
-        unit = lambda k: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((self.words, k)))
-        self.codes = [c for c in (unit(self.cut), unit(size - self.cut)) if c.size]
-
-    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """All directions whose score with each unit vector is at least the height, in order."""
-        turned = unit @ self.rotation
-        if len(self.codes) < 2:
-            return [np.flatnonzero(s >= self.height) for s in turned @ self.codes[0].T]
-        a, b = turned[:, : self.cut] @ self.codes[0].T, turned[:, self.cut :] @ self.codes[1].T
-        found = []
-        for x, y in zip(a, b, strict=True):
-            order_x, order_y = np.argsort(-x), np.argsort(-y)
-            sorted_y = -y[order_y]
-            need = np.searchsorted(sorted_y, x[order_x] - self.height * sqrt(2), side="right")
-            n = need[: np.searchsorted(-need, 0)]  # scores fall, so the lists get shorter until they end
-            i = np.repeat(order_x[: len(n)], n)
-            j = np.concatenate([order_y[:k] for k in n]) if len(n) else order_y[:0]
-            found.append(np.sort(i * self.words + j))
-        return found
+        rng, space = np.random.default_rng(seed), max(size, 2)
+        angle, share = caps(space)
+        # a cap much smaller than the angle of a pair would hold next to no pair
+        at = max(np.interp(min(0.02, LOAD / max(n, 1)), share, angle), min(acos(similar), pi / 2))
+        held, self.height = np.interp(at, angle, share), cos(at)
+        # with one vector on the cap's rim, the other must lie so near to it in the space across
+        across = self.height * sqrt((1 - similar) / ((1 + similar) * (1 - self.height**2)))
+        both = np.interp(acos(min(across, 1)), *caps(space - 1)) if space > 2 else 0.5
+        self.words = max(2, ceil(sqrt(SHARED / (held * max(both, 0.01) * CODES))))
+        self.size, self.cut, self.codes = size, space // 2, []
+        turn = lambda: np.linalg.qr(rng.standard_normal((space, space)))
+        unit = lambda m, k: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((m, k)))
+        x, y = unit(PAIRS, space), rng.standard_normal((PAIRS, space))
+        y -= (x * y).sum(1, keepdims=True) * x
+        y = similar * x + sqrt(1 - similar * similar) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        while len(x) > MISSED * PAIRS:
+            q, r = turn()
+            code = (q * np.sign(np.diag(r)), unit(self.words, self.cut), unit(self.words, space - self.cut))
+            self.codes.append(code)
+            keys = [row * self.words**2 + direction for row, direction in (self.exceeded(code, z) for z in (x, y))]
+            apart = np.setdiff1d(np.arange(len(x)), np.intersect1d(*keys) // self.words**2)
+            x, y = x[apart], y[apart]
+
+    def exceeded(self, code: tuple[np.ndarray, np.ndarray, np.ndarray], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The directions of a code whose score with each unit vector is at least the height, as (row, direction) in order."""
+        turned = unit @ code[0][: unit.shape[1]]
+        a, b, least = turned[:, : self.cut] @ code[1].T, turned[:, self.cut :] @ code[2].T, self.height * sqrt(2)
+        row, i = np.nonzero(a >= least - b.max(axis=1, keepdims=True))
+        rows, found = [row[:0]], [i[:0]]
+        step = max(1, (1 << 21) // self.words)
+        for start in range(0, len(row), step):
+            r, w = row[start : start + step], i[start : start + step]
+            k, j = np.nonzero(b[r] >= (least - a[r, w])[:, None])
+            rows.append(r[k])
+            found.append(w[k] * self.words + j)
+        return np.concatenate(rows), np.concatenate(found)
+
+    def decode(self, unit: np.ndarray) -> pa.ListArray:
+        """The directions of all codes whose score with each unit vector is at least the height, in order."""
+        found = [self.exceeded(code, unit) for code in self.codes]
+        rows = np.concatenate([row for row, _ in found])
+        directions = np.concatenate([k * self.words**2 + direction for k, (_, direction) in enumerate(found)])
+        ends = np.cumsum(np.bincount(rows, minlength=len(unit)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(directions[np.argsort(rows, kind="stable")], pa.int32()))
 
 
 def unit_vectors(arrays: pa.Array) -> np.ndarray:
-    x = np.array(arrays.to_pylist(), np.float64)
+    x = arrays.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(arrays), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -91,7 +121,8 @@ def compare(key: tuple, group: pa.Table, similar: float) -> pa.Table:
     direction, i, j = (k.as_py() for k in key)
     ids, weight, side = group.column("rep").to_numpy(), group.column("weight").to_numpy(), group.column("block").to_numpy()
     x = unit_vectors(group.column("embedding").combine_chunks())
-    lists = [np.array(v) for v in group.column("directions").to_pylist()]
+    held = group.column("directions").combine_chunks()
+    lists = np.split(held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())[:-1])
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
     near = x[left] @ x[right].T >= similar
     if i == j:
@@ -131,8 +162,8 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     that hold null or non-finite components link with nothing. Ids are integers; a null id
     has a null component. Rows with equal vectors are linked without being compared.
     Repeated rows are vectors of their own; an empty table gives an empty result; other
-    columns are not read. No pair below the threshold is returned; of those above it at
-    least 1 - exp(-SHARED) are expected. Large groups are cut into blocks that meet in
+    columns are not read. No pair below the threshold is returned; of those right at
+    it 1 - MISSED are expected, and more of those above, at any number and length of vectors. Large groups are cut into blocks that meet in
     pairs, and links are counted where they are found, never emitted.
     """
     spark = vectors.sparkSession
@@ -156,7 +187,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 lists = shared.value.decode(unit_vectors(part.column("embedding")))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists, pa.list_(pa.int32()))], [*part.schema.names, "directions"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "directions"])
 
     # a class without any id cannot be named; it has weight in nobody's links but its own
     named = classes.filter("rep is not null").select("rep", "weight", "embedding")

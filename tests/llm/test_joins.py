@@ -121,3 +121,29 @@ def test_embeddings_at_the_threshold(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
     assert embedding_dedup.link(df.filter("false")).collect() == []
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(9001, 9008))
+
+
+def threshold_pairs(rng, n, size, low, high):
+    a, b = rng.standard_normal((2, n, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (n, 1))
+    return a, c * a + np.sqrt(1 - c * c) * b
+
+
+@pytest.mark.parametrize(("n", "size"), [(2_000, 64), (16_000, 64), (80_000, 64), (1_000_000, 64), (80_000, 8), (80_000, 384), (5_000, 2), (5_000, 3)])
+def test_embeddings_filters_find_isolated_pairs(n, size):
+    """Pairs right at the threshold alone, for tables of ``n`` vectors."""
+    code = embedding_dedup.CapFilters(n, size, 0.9, 11)
+    for low, high in ((0.9, 0.9), (0.9, 0.93)):
+        x, y = (code.decode(v).to_pylist() for v in threshold_pairs(np.random.default_rng(n + size), 2000, size, low, high))
+        assert np.mean([bool(set(a) & set(b)) for a, b in zip(x, y, strict=True)]) >= 0.975
+
+
+def test_embeddings_isolated_pairs(spark):
+    x, y = threshold_pairs(np.random.default_rng(4), 1000, 64, 0.9, 0.93)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    _, n = brute_vectors(rows)
+    got = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert 2 * n >= sum(r["n_links"] for r in got) >= 0.975 * 2 * n
