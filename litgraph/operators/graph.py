@@ -141,3 +141,45 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int, id_col: str = "id"
     rows = vectors.filter("embedding is not null").crossJoin(F.broadcast(query)).withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("q")))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", id_col, F.round("similarity", 6).alias("similarity"), "place")
+
+
+def vector_topk_blocks(vectors: DataFrame, query: DataFrame, k: int, id_col: str = "id", vector_block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """``vector_topk`` for query sets that grow with the table: blocks of vectors meet blocks of queries, and a meeting keeps each query's ``k`` best.
+
+    Only vectors of a query's length are compared with it; vectors that are null or hold null or non-finite components are left out.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    fine = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    v = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter(fine("v"))
+    q = query.select("query_id", F.col("q").cast("array<double>").alias("q")).filter(fine("q"))
+    sizes = v.agg(F.count("*")).first()[0], q.agg(F.count("*")).first()[0]
+    n_v, n_q = max(1, -(-sizes[0] // vector_block)), max(1, -(-sizes[1] // query_block))
+    dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    v = dealt(v.select("id", "v", F.size("v").alias("size")), "i", n_v, "j", n_q)
+    q = dealt(q.select("query_id", "q", F.size("q").alias("size")), "j", n_q, "i", n_v)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pc.sort_indices(left, [("id", "ascending")])).combine_chunks() if left.num_rows else left
+        rows = [t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0)) for t, c in ((left, "v"), (right, "q"))]
+        picked, similarity = np.zeros((0, right.num_rows), np.int64), np.zeros((0, right.num_rows))
+        if left.num_rows and right.num_rows:
+            # component by component, so that equal vectors get equal sums wherever they stand
+            total, norm = np.zeros((left.num_rows, right.num_rows)), [np.zeros(len(x)) for x in rows]
+            for x, y in zip(rows[0].T, rows[1].T, strict=True):
+                total += x[:, None] * y
+                norm = [norm[0] + x * x, norm[1] + y * y]
+            norms = np.sqrt(norm[0])[:, None] * np.sqrt(norm[1])
+            total = np.divide(total, norms, out=np.zeros_like(total), where=norms != 0)
+            picked = np.argsort(-total, axis=0, kind="stable")[:k]
+            similarity = np.take_along_axis(total, picked, axis=0)
+        asked = np.broadcast_to(np.arange(right.num_rows), picked.shape)
+        return pa.table([right.column("query_id").take(pa.array(asked.ravel())), left.column("id").take(pa.array(picked.ravel())), pa.array(similarity.ravel())], ["query_id", "id", "similarity"])
+
+    kind = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (v, "id"))}
+    keys = ["size", "i", "j"]
+    rows = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(best, f"query_id {kind['query_id']}, id {kind['id']}, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", F.col("id").alias(id_col), F.round("similarity", 6).alias("similarity"), "place")

@@ -265,6 +265,13 @@ def f3_vector_topk_batch(g):
     return G.vector_topk(g.concepts.select("id", "embedding"), q, 10)
 
 
+@query(f"WITH r AS (SELECT b.n AS query_id, a.id, {COSINE} AS s, row_number() OVER (PARTITION BY b.n ORDER BY {COSINE} DESC, a.id) AS place FROM concepts a, concepts b WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND b.n % 100 = 0) SELECT query_id, id, round(s, 6) AS similarity, place FROM r WHERE place <= 10")
+def f3_vector_topk_hundredths(g):
+    """Every concept whose number 100 divides as a query against all concepts."""
+    q = g.concepts.filter("n % 100 = 0 and embedding is not null").select(F.col("n").alias("query_id"), F.col("embedding").alias("q"))
+    return G.vector_topk_blocks(g.concepts.select("id", "embedding"), q, 10)
+
+
 @query("WITH a AS (SELECT paper_id FROM paper_concepts WHERE concept_id IN (SELECT id FROM concepts WHERE cluster_id = 1)), b AS (SELECT paper_id FROM paper_concepts WHERE concept_id IN (SELECT id FROM concepts WHERE cluster_id = 2)) SELECT coalesce(x.paper_id, y.paper_id) AS paper_id, CASE WHEN x.paper_id IS NOT NULL AND y.paper_id IS NOT NULL THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS relevance FROM (SELECT DISTINCT * FROM a) x FULL JOIN (SELECT DISTINCT * FROM b) y ON x.paper_id = y.paper_id")
 def g2_evidence_relevance_union(g):
     of = lambda c: g.paper_concepts.join(g.concepts.filter(f"cluster_id = {c}").select(F.col("id").alias("concept_id")), "concept_id", "left_semi").select("paper_id").distinct()
