@@ -158,13 +158,16 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
 
     ``n_links`` counts the other vectors linked directly, ``component_id`` is the smallest id
     reachable by links, itself included, ``kept`` says whether it is the vector's own.
-    Vectors that are null, empty, zero, of another length than the most frequent one's or
-    that hold null or non-finite components link with nothing. Ids are integers; a null id
-    has a null component. Rows with equal vectors are linked without being compared.
-    Repeated rows are vectors of their own; an empty table gives an empty result; other
-    columns are not read. No pair below the threshold is returned; of those right at
-    it 1 - MISSED are expected, and more of those above, at any number and length of vectors. Large groups are cut into blocks that meet in
-    pairs, and links are counted where they are found, never emitted.
+    Only vectors of the same length are compared, by codes of their own. Vectors that are null,
+    empty, zero or that hold null or non-finite components link with nothing. Ids are
+    integers; rows with a null id count as links of others and connect them, their component
+    is the smallest id reachable, null if there is none. Rows with equal vectors are linked
+    without being compared. Repeated rows are vectors of their own; an empty table gives an
+    empty result; other columns are not read. No pair below the threshold is returned; of
+    those right at it 1 - MISSED are expected, and more of those above, at any number and
+    length of vectors. The driver holds the number of vectors and the codes of each length.
+    Large groups are cut into blocks that meet in pairs, and links are counted where they are
+    found, never emitted.
     """
     spark = vectors.sparkSession
     v = F.col("embedding")
@@ -172,36 +175,43 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
     rows = rows.withColumn("embedding", F.when(fine, F.transform(v, lambda e: e + F.lit(0.0))))
     rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(seed), "embedding"), "size": F.when(v.isNotNull(), F.size(v))})
-    size = rows.filter("size is not null").groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    if size is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    size = size["size"]
-    usable = rows.filter(F.col("size") == size)
-    # vectors that are equal become one, with its number of rows as weight
-    classes = durable(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")))
-    code = CapFilters(classes.count(), size, similar, seed)
-    shared = spark.sparkContext.broadcast(code)
+    # vectors that are equal become one, with its number of rows as weight; a class of null ids has a node too
+    classes = rows.filter("size is not null").groupBy("size", "h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    classes = durable(classes.withColumn("rep", F.monotonically_increasing_id()))
+    # a direction is meant to hold LOAD vectors: no more of a length than that need a single one
+    numbers = {r["size"]: r["count"] for r in classes.groupBy("size").count().filter("count > 1").collect()}
+    shared = spark.sparkContext.broadcast({size: CapFilters(n, size, similar, seed) if n > LOAD else None for size, n in numbers.items()})
+
+    def listed(part: pa.RecordBatch, code: CapFilters | None) -> pa.RecordBatch:
+        n = part.num_rows
+        lists = code.decode(unit_vectors(part.column("embedding"))) if code else pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.array(np.zeros(n), pa.int32()))
+        return pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "directions"])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                lists = shared.value.decode(unit_vectors(part.column("embedding")))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "directions"])
-
-    # a class without any id cannot be named; it has weight in nobody's links but its own
-    named = classes.filter("rep is not null").select("rep", "weight", "embedding")
-    filtered = durable(named.mapInArrow(decoded, "rep long, weight long, embedding array<double>, directions array<int>").withColumn("direction", F.explode("directions")))
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes).tolist():
+                if size not in shared.value:
+                    continue
+                own = batch.filter(pa.array(sizes == size))
+                for start in range(0, own.num_rows, 2048):
+                    yield listed(own.slice(start, 2048), shared.value[size])
+
+    compared = classes.select("size", "rep", "weight", "embedding")
+    filtered = durable(compared.mapInArrow(decoded, "size int, rep long, weight long, embedding array<double>, directions array<int>").withColumn("direction", F.explode("directions")))
     # as many small rows as there are directions
-    loads = filtered.groupBy("direction").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"), F.count("*").alias("load")).filter("load > 1").drop("load")
-    dealt = filtered.join(loads, "direction").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    loads = filtered.groupBy("size", "direction").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"), F.count("*").alias("load")).filter("load > 1").drop("load")
+    dealt = filtered.join(loads, ["size", "direction"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = dealt.withColumn("meet", F.explode(meets)).select("direction", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "block", "rep", "weight", "embedding", "directions")
-    links = durable(dealt.groupBy("direction", "i", "j").applyInArrow(lambda key, group: compare(key, group, similar), "id long, other long, n long"))
+    dealt = dealt.withColumn("meet", F.explode(meets)).select("size", "direction", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "block", "rep", "weight", "embedding", "directions")
+    links = durable(dealt.groupBy("size", "direction", "i", "j").applyInArrow(lambda key, group: compare(key[1:], group, similar), "id long, other long, n long"))
     counts = links.filter("id = other").groupBy("id").agg(F.sum("n").alias("n"))
     found = components(links.filter("id <> other").select(F.col("id").alias("u"), F.col("other").alias("v")))
-    named = classes.select("h1", "h2", "rep", "weight").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("root"), F.lit(size).alias("size"))
-    out = rows.select("id", "h1", "h2", "size").join(named, ["h1", "h2", "size"], "left")
+    named = classes.select("size", "h1", "h2", "least", "rep", "weight").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    named = durable(named.select("size", "h1", "h2", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component")))
+    # components are named by nodes so far; the least id of each is the answer
+    roots = named.groupBy("component").agg(F.min("least").alias("root"))
+    named = named.join(roots, "component").select("size", "h1", "h2", "n", "root")
+    out = rows.select("id", "h1", "h2", "size").join(named, ["size", "h1", "h2"], "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

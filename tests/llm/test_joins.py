@@ -147,3 +147,24 @@ def test_embeddings_isolated_pairs(spark):
     _, n = brute_vectors(rows)
     got = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert 2 * n >= sum(r["n_links"] for r in got) >= 0.975 * 2 * n
+
+
+def test_embeddings_of_several_lengths_and_null_ids(spark):
+    rng = np.random.default_rng(6)
+    rows, k = [], 0
+    for size in (5, 8, 64):
+        for x in rng.standard_normal((300, size)):
+            rows += [(k, x.tolist()), (k + 1, (2 * x).tolist()), (k + 2, x.tolist())]
+            k += 3
+    # a chain whose middle has no id, and a class without any
+    turn = lambda a: [float(np.cos(a)), float(np.sin(a)), 0.0]
+    rows += [(7001, turn(0.0)), (None, turn(0.4)), (None, turn(0.4)), (7000, turn(0.8)), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 2.0]), (7002, [3.0])]
+    got = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows)
+    by = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None}
+    for start in range(0, k, 900):
+        want, _ = brute_vectors([r for r in rows[start : start + 900]])
+        assert all(by[i][0] <= want[i][0] for i in want) and sum(by[i][0] for i in want) >= 0.97 * sum(w[0] for w in want.values())
+    assert by[7000] == (2, 7000) and by[7001] == (2, 7000) and by[7002] == (0, 7002)
+    assert sorted((r["n_links"], str(r["component_id"])) for r in got if r["vec_id"] is None) == [(1, "None"), (1, "None"), (3, "7000"), (3, "7000")]
+    assert not any(r["kept"] for r in got if r["vec_id"] is None)
