@@ -14,6 +14,17 @@ from litgraph.llm.queries import vocabulary
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the folder of checkpoints and read again."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-pipeline-")
+    path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without text or letters (``und``)."""
     profiles = language_id.train(docs, id_remainder(F.col("doc_id"), 3) != 1)
@@ -28,12 +39,19 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, and all documents without an id.
+    """Keeps one row of each group of near duplicates, of those with the smallest id the one with the least digests, and all rows without words.
 
-    Only the ids that go are joined to the documents.
+    Rows are linked by keys of their own, not by their ids: ids may be null or repeat. Only
+    the keys of the rows that go are joined to the documents.
     """
-    gone = jaccard_join.link(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # written first, so that a row keeps its key
+    keyed = stored(spark, docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    linked = jaccard_join.link(keyed, id_col="row").filter("n_shingles > 0").select("row", "component_id")
+    narrow = keyed.select("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("digest"), F.xxhash64(F.lit(1), "text").alias("digest2"), "row").alias("place"))
+    groups = linked.join(narrow, "row")
+    first = groups.groupBy("component_id").agg(F.min("place").alias("place"), F.count("*").alias("n")).filter("n > 1").select("component_id", F.col("place.row").alias("kept"))
+    gone = groups.select("row", "component_id").join(first, "component_id").filter("row <> kept").select("row")
+    return keyed.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,15 +78,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents, each written as Parquet and read again by the next."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-pipeline-")
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stored(spark, docs, name)
     return docs

@@ -37,3 +37,12 @@ def test_odd_rows(spark, sf):
 
 def test_all_registered():
     assert {*QUERIES} >= {"pipeline"} and sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == [*range(1, 11)]
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark, sf):
+    one, two, three, four = ("".join(f"{c}{i} " for i in range(12)) for c in "abcd")
+    rows = [(5, one), (5, one), (1, two), (2, two), (2, three), (None, four), (None, four), (7, ""), (7, ""), (None, None), (None, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), sf).collect()
+    want = [(5, one), (1, two), (2, three), (None, four), (7, ""), (7, ""), (None, None)]
+    assert sorted(map(str, [(r["doc_id"], r["text"]) for r in got])) == sorted(map(str, want))
