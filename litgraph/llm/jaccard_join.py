@@ -45,7 +45,8 @@ MEET = 1024
 #: Bits of the filter by which the sets to compare are picked.
 FILTER_BITS = 23
 
-WORD = np.array([0 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -92,8 +93,8 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes."""
     data, at, length = text_bytes(texts)
     low = int(at.min()) if len(at) else 0
-    whole = WORD[data[low : int((at + length).max()) if len(at) else 0]]
-    inside = whole != 0
+    raw = data[low : int((at + length).max()) if len(at) else 0]
+    whole, inside = LOWER[raw], ~SPACE[raw]
     first = np.ones(len(whole), bool)
     first[1:] = ~inside[:-1]
     first[np.unique(at[length > 0] - low)] = True

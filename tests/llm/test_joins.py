@@ -168,3 +168,9 @@ def test_embeddings_of_several_lengths_and_null_ids(spark):
     assert by[7000] == (2, 7000) and by[7001] == (2, 7000) and by[7002] == (0, 7002)
     assert sorted((r["n_links"], str(r["component_id"])) for r in got if r["vec_id"] is None) == [(1, "None"), (1, "None"), (3, "7000"), (3, "7000")]
     assert not any(r["kept"] for r in got if r["vec_id"] is None)
+
+
+def test_jaccard_nul_is_part_of_a_word(spark):
+    words = [f"w{k}" for k in range(30)]
+    rows = [" ".join(words), " ".join(words).replace("w3 ", "w3\0"), " ".join([*words, "\0"]), "a\0b c d e f", "a b c d e f", "\0", "\0a \0b", "a b"]
+    check_jaccard(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
