@@ -33,7 +33,9 @@ SHINGLE = 5
 #: Similarity in hundredths.
 SIMILAR = 80
 #: Sizes in a band go up to this many times its smallest.
-BAND = 1.6
+BAND = 2.0
+#: Signatures beyond those needed, in hundredths of the band's largest need: a set can leave out as many hot ones.
+EXTRA = 10
 #: Splits that are tried before a set's empty parts count.
 SPLITS = 4
 #: Counts in a sketch of a set, by which dissimilar pairs of small sets are ruled out before sets are compared.
@@ -42,18 +44,26 @@ SKETCH = 64
 LARGE = 24
 #: Members of a large group that meet in one task.
 MEET = 1024
-#: Bits of the filter by which the sets to compare are picked.
-FILTER_BITS = 23
+#: Bits of the filter by which the texts to compare are picked, for each of them, and the most bits it has.
+FILTER_BITS, MOST_BITS = 16, 1 << 27
+#: Bytes of text that are hashed at a time.
+TEXT_BYTES, HASH_BYTES = 1 << 20, 1 << 17
 
 SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
-LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: A random value for each byte, A-Z like a-z.
+LETTER = BYTE[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Odd factors by place of a word in its shingle.
+PLACES = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX1
-    x = (x ^ (x >> np.uint64(27))) * MIX2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= MIX1
+    x ^= x >> np.uint64(27)
+    x *= MIX2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 @dataclass(frozen=True)
@@ -61,8 +71,12 @@ class Band:
     number: int
     low: int
     high: int
-    differ: int  # k
     parts: int
+    extra: int
+
+    def need(self, size: int, similar: int) -> int:
+        """One more than a set of this size can differ from its partners in the band by, in elements and so in parts."""
+        return (size + min(self.high, 100 * size // similar)) * (100 - similar) // (100 + similar) + 1
 
 
 @lru_cache(maxsize=4096)
@@ -72,166 +86,237 @@ def band(number: int, similar: int = SIMILAR) -> Band:
     for _ in range(number):
         low = int(low * BAND) + 1
     high = int(low * BAND)
-    differ = 2 * high * (100 - similar) // (100 + similar)
-    smallest = max(1, -(-low * similar // 100))
-    parts = differ + 1
-    while differ and parts * (1 - exp(-smallest / parts)) < 1.06 * (differ + 1) + 0.5 and parts < 4 * smallest + 4:
+    most = 2 * high * (100 - similar) // (100 + similar) + 1
+    extra = -(-most * EXTRA // 100)
+    parts, smallest = most, max(1, -(-low * similar // 100))
+    few = lambda n: parts * (1 - exp(-n / parts)) < 1.03 * (plain.need(n, similar) + extra) + 0.5
+    plain = Band(number, low, high, parts, extra)
+    while most > 1 and parts < 4 * smallest + 4 and (few(smallest) or few(low) or few(high)):
         parts += 1
-    return Band(number, low, high, differ, parts)
+    return Band(number, low, high, parts, extra)
 
 
-def bands_of(size: int, similar: int = SIMILAR) -> list[Band]:
+@lru_cache(maxsize=65536)
+def bands_of(size: int, similar: int = SIMILAR) -> tuple[Band, ...]:
     """The bands in which a set of this size has signatures: its own, and the next if it can have partners there."""
     n = 0
     while band(n, similar).high < size:
         n += 1
     own, above = band(n, similar), band(n + 1, similar)
-    return [own, above] if 100 * size >= similar * above.low else [own]
-
-
-def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct shingles of each text as sorted 64-bit hashes."""
+    return (own, above) if 100 * size >= similar * above.low else (own,)
+
+
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of its inverse, ``n`` of them at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, INVERSE)):
+            _powers[k] = np.full(n, base)
+            _powers[k][0] = 1
+            np.multiply.accumulate(_powers[k], out=_powers[k])
+    return _powers
+
+
+def word_hashes(raw: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word; no word goes over a border. Bytes are hashed in pieces cut at white space."""
+    starts, hashes, low, n = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0, len(raw)
+    gap = SPACE[raw]
+    while low < n:
+        high = min(low + HASH_BYTES, n)
+        if high < n:
+            back = int(np.argmax(gap[low:high][::-1]))
+            if gap[high - 1 - back]:
+                high -= back
+            else:  # a word longer than a piece
+                ahead = int(np.argmax(gap[high:]))
+                high = high + ahead if gap[high + ahead] else n
+        own, parted = ~gap[low:high], borders[np.searchsorted(borders, low) : np.searchsorted(borders, high)] - low
+        first = own.copy()
+        first[1:] &= ~own[:-1]
+        first[parted] = own[parted]
+        last = own.copy()
+        last[:-1] &= ~own[1:] | first[1:]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        power, back = powers(high - low + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(LETTER[raw[low:high]] * power[: high - low], out=sums[1:])
+        starts.append(start + low)
+        hashes.append(mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)))
+        low = high
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, sizes): the distinct shingles of each text as sorted 64-bit hashes, text after text, and how many each has."""
+    if texts.null_count:
+        texts = texts.fill_null("")
     data, at, length = text_bytes(texts)
-    low = int(at.min()) if len(at) else 0
-    raw = data[low : int((at + length).max()) if len(at) else 0]
-    whole, inside = LOWER[raw], ~SPACE[raw]
-    first = np.ones(len(whole), bool)
-    first[1:] = ~inside[:-1]
-    first[np.unique(at[length > 0] - low)] = True
-    last = np.ones(len(whole), bool)
-    last[:-1] = first[1:] | ~inside[1:]
-    start, end = np.flatnonzero(inside & first), np.flatnonzero(inside & last) + 1
-    power, back = np.full(len(whole) + 1, BASE), np.full(len(whole) + 1, INVERSE)
-    power[:1] = back[:1] = 1
-    np.multiply.accumulate(power, out=power)
-    np.multiply.accumulate(back, out=back)
-    sums = np.zeros(len(whole) + 1, np.uint64)
-    np.cumsum(BYTE[whole] * power[:-1], out=sums[1:])
-    word = mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
-    # the hash of n words in a row, and of the words of a short text
-    rolled = np.zeros(len(word), np.uint64)
-    for i in range(n):
-        rolled[: len(word) - i if i < len(word) else 0] = mix(rolled[: len(word) - i if i < len(word) else 0] + word[i:])
-    from_, to = np.searchsorted(start, at - low), np.searchsorted(start, at - low + length)
-    sets = []
-    for a, b, size in zip(from_.tolist(), to.tolist(), length.tolist(), strict=True):
-        if not size or a == b:
-            sets.append(np.zeros(0, np.uint64))
-        elif b - a < n:
-            h = np.zeros(1, np.uint64)
-            for w in word[a:b]:
-                h = mix(h + w)
-            sets.append(mix(h + np.uint64(b - a)))
-        else:
-            sets.append(np.unique(rolled[a : b - n + 1]))
-    return sets
-
-
-def digest(elements: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
-    x = mix(elements + np.uint64(1))
-    y = mix(elements ^ MIX2)
-    out = np.array([x.sum(dtype=np.uint64) + np.uint64(len(x)), y.sum(dtype=np.uint64)], np.uint64)
-    return tuple(mix(out).view(np.int64).tolist())
-
-
-def signatures(elements: np.ndarray, similar: int = SIMILAR) -> Iterator[tuple[np.ndarray, int, int]]:
-    """(signatures, split, how many more than k there are) for each band and split of a set."""
-    for b in bands_of(len(elements), similar):
-        for split in range(SPLITS):
-            salt = mix(np.array([b.number * SPLITS + split + 1], np.uint64))
-            x = mix(elements + salt)
-            part = ((x >> np.uint64(32)) * np.uint64(b.parts)) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            own = mix(np.add.reduceat(x[order], begin) + mix(part[begin] + salt))
-            spare = len(own) - (b.differ + 1)
-            if spare < 0 and split == SPLITS - 1:
-                empty = np.setdiff1d(np.arange(b.parts, dtype=np.uint64), part[begin])
-                own = np.concatenate([own, mix(mix(empty + salt) ^ MIX2)])
-            yield own.view(np.int64), b.number * SPLITS + split, spare
-            if spare >= 0:
-                break
+    low = int(at[0]) if len(at) else 0
+    at = at - low
+    start, word = word_hashes(data[low : low + int(length.sum())], np.unique(at))
+    from_ = np.searchsorted(start, at)
+    count = np.searchsorted(start, at + length) - from_
+    hashed = np.zeros(len(word), np.uint64)
+    for i in range(min(n, len(word))):
+        hashed[: len(word) - i] += word[i:] * PLACES[i]
+    kept = np.ones(len(word), bool)
+    for i in range(1, n):
+        kept[(from_ + count - i)[count >= i]] = False
+    short = np.flatnonzero((count > 0) & (count < n))
+    for k in short:  # fewer words: the whole sequence
+        own = word[from_[k] : from_[k] + count[k]]
+        hashed[from_[k]] = np.sum(own * PLACES[: len(own)] + MIX1, dtype=np.uint64)
+        kept[from_[k]] = True
+    elements = mix(hashed[kept])
+    sizes = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        elements[a:b].sort()
+    new = np.ones(len(elements), bool)
+    new[1:] = elements[1:] != elements[:-1]
+    new[(ends - sizes)[sizes > 0]] = True
+    upto = np.concatenate([[0], np.cumsum(new)])
+    return elements[new], upto[ends] - upto[ends - sizes]
+
+
+def sums_of(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]
+
+
+def digests(elements: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set."""
+    one = mix(sums_of(mix(elements + np.uint64(1)), sizes) + sizes.astype(np.uint64))
+    return one.view(np.int64), mix(sums_of(mix(elements ^ MIX2), sizes)).view(np.int64)
+
+
+def sketches(elements: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """How many elements of each set fall into each of SKETCH parts, 255 at most."""
+    slot = np.repeat(np.arange(len(sizes)) * SKETCH, sizes) + (elements % np.uint64(SKETCH)).astype(np.int64)
+    counts = np.minimum(np.bincount(slot, minlength=len(sizes) * SKETCH), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((np.arange(len(sizes) + 1) * SKETCH).astype(np.int32)), pa.py_buffer(counts)])
+
+
+def signatures(elements: np.ndarray, sizes: np.ndarray, similar: int = SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, split, spare) of all signatures of sets: ``spare`` says how many more than needed a set has in that split.
+
+    A set emits its first non-empty parts, in an order of parts that all sets share: as many
+    as it needs and the band's extra ones. Of two similar sets, look at the one that stops
+    earlier: up to there the other emits all that it has, and of the first one's parts no
+    more differ than it needs less one, so 1 + extra parts are shared. A set with too few
+    non-empty parts emits all of them, then tries further splits, and in the last one emits
+    its empty parts too; two such sets agree in one of all parts.
+    """
+    size, begin = sizes.tolist(), np.cumsum(sizes) - sizes
+    todo = [(k, b, b.need(n, similar)) for k, n in enumerate(size) if n for b in bands_of(n, similar)]
+    owner = np.array([k for k, _, _ in todo], np.int64)
+    number, parts, extra = (np.array([getattr(b, f) for _, b, _ in todo], np.int64) for f in ("number", "parts", "extra"))
+    need = np.array([n for _, _, n in todo], np.int64)
+    out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for split in range(SPLITS):
+        if not len(owner):
+            break
+        n, code = sizes[owner], number * SPLITS + split
+        salt = mix((code + 1).astype(np.uint64))
+        ends = np.cumsum(n)
+        x = mix(elements[np.repeat(begin[owner] - ends + n, n) + np.arange(ends[-1])] + np.repeat(salt, n))
+        first = np.cumsum(parts) - parts
+        slot = np.repeat(first, n) + (((x >> np.uint64(32)) * np.repeat(parts.astype(np.uint64), n)) >> np.uint64(32)).astype(np.int64)
+        total = int(parts.sum())
+        # sums of halves are exact in doubles
+        low, high = (np.bincount(slot, weights=half, minlength=total).astype(np.uint64) for half in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)))
+        full = np.bincount(slot, minlength=total) > 0
+        entry, part = np.repeat(np.arange(len(owner)), parts), np.arange(total) - np.repeat(first, parts)
+        place = np.cumsum(full) - 1
+        upto = np.concatenate([[0], np.cumsum(full)])
+        have = upto[first + parts] - upto[first]
+        spare = np.minimum(have, need + extra) - need
+        emit = full & (place - upto[first][entry] < (need + extra)[entry])
+        label = mix(part.astype(np.uint64) + salt[entry])
+        own = mix(low[emit] + (high[emit] << np.uint64(32)) + label[emit])
+        out.append((owner[entry[emit]], own, code[entry[emit]], spare[entry[emit]]))
+        if split == SPLITS - 1:
+            empty = ~full & (spare < 0)[entry]
+            out.append((owner[entry[empty]], mix(label[empty] ^ MIX2), code[entry[empty]], spare[entry[empty]]))
+        again = spare < 0
+        owner, number, parts, extra, need = (c[again] for c in (owner, number, parts, extra, need))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"))
+
+
+def texts_once(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts, without those that this task has met before (by hash) and those that are not wanted."""
+    seen: set[int] = set()
+    for batch in batches:
+        keys = batch.column("t").to_numpy()
+        new = np.zeros(len(keys), bool)
+        new[np.unique(keys, return_index=True)[1]] = True
+        if wanted is not None:
+            new &= wanted(keys)
+        at = np.flatnonzero(new)
+        at = at[[k not in seen for k in keys[at].tolist()]] if len(at) else at
+        if len(seen) < 1_000_000:
+            seen.update(keys[at].tolist())
+        yield from blocks([batch.take(pa.array(at))], "text", TEXT_BYTES)
 
 
 def document_sets(rows: DataFrame, id_type: str) -> DataFrame:
-    """(id, n, h1, h2, sketch) of each document: size and digest of its set, and counts of its elements by part."""
+    """(id, t, n, h1, h2, sketch) of each document: hash of its text, size and digest of its set, and counts of its elements by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            sets = shingle_sets(batch.column("text"))
-            both = [digest(s) for s in sets]
-            sketch = [np.minimum(np.bincount((mix(s) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in both], pa.int64()), pa.array([d[1] for d in both], pa.int64()), pa.array(sketch, pa.binary())],
-                ["id", "n", "h1", "h2", "sketch"],
-            )
+        for batch in blocks(batches, "text", TEXT_BYTES):
+            elements, sizes = shingle_sets(batch.column("text"))
+            columns = [pa.array(sizes), *map(pa.array, digests(elements, sizes)), sketches(elements, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *columns], ["id", "t", "n", "h1", "h2", "sketch"])
 
-    return rows.mapInArrow(run, f"id {id_type}, n long, h1 long, h2 long, sketch binary")
+    return rows.mapInArrow(run, f"id {id_type}, t long, n long, h1 long, h2 long, sketch binary")
 
 
 def document_signatures(rows: DataFrame, similar: int) -> DataFrame:
-    """(sig, h, split, spare) of each distinct set; a set that a task meets again gives no rows again."""
+    """(sig, h, split, spare) of each distinct text; a text that a task meets again gives no rows again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for batch in blocks(batches, "text"):
-            sig, h, split, spare = [], [], [], []
-            for s in shingle_sets(batch.column("text")):
-                if not len(s) or (d := digest(s)) in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(d)
-                for own, k, more in signatures(s, similar):
-                    sig.append(own)
-                    h.append((d[0], len(own)))
-                    split.append(k)
-                    spare.append(more)
-            if not sig:
-                continue
-            sizes = np.array([n for _, n in h])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sig)), pa.array(np.repeat(np.array([d for d, _ in h], np.int64), sizes)), pa.array(np.repeat(np.array(split, np.int32), sizes)), pa.array(np.repeat(np.array(spare, np.int32), sizes))],
-                ["sig", "h", "split", "spare"],
-            )
-
-    return rows.mapInArrow(run, "sig long, h long, split int, spare int")
-
-
-def wanted_sets(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(h, elements) of the sets whose digest is in ``ids``, and of a few more.
-
-    A bit map of the digests, of a fixed 2 ** bits bits, is built by Spark and broadcast; a
-    full map only lets more sets through.
+        for batch in texts_once(batches):
+            elements, sizes = shingle_sets(batch.column("text"))
+            owner, sig, split, spare = signatures(elements, sizes, similar)
+            columns = [sig.view(np.int64), digests(elements, sizes)[0][owner], split.astype(np.int32), spare.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "h", "split", "spare"])
+
+    return rows.select("text", "t").mapInArrow(run, "sig long, h long, split int, spare int")
+
+
+def wanted_sets(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, elements) of the sets of the texts whose hash ``t`` is in ``texts``, and of a few more.
+
+    A bit map of the hashes, of FILTER_BITS bits for each and MOST_BITS at most, is built by
+    Spark and broadcast; a full map only lets more texts through.
     """
-    at = F.pmod("h", F.lit(1 << bits)) + 1  # positions are counted from 1
-    packed = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    have = np.zeros(1 << bits, bool)
+    bits = max(1 << 15, min(MOST_BITS, FILTER_BITS * texts.count()))
+    at = F.pmod("t", F.lit(bits)) + 1  # positions are counted from 1
+    packed = texts.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    have = np.zeros(bits + (1 << 15), bool)
     for r in packed:
-        own = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-        have[np.flatnonzero(own) + (r["bucket"] - 1) * len(own)] = True
+        own = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little"))
+        have[own + (r["bucket"] - 1) * (1 << 15)] = True
     shared = rows.sparkSession.sparkContext.broadcast(np.packbits(have))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, seen = np.unpackbits(shared.value), set()
-        for batch in blocks(batches, "text"):
-            found = []
-            for s in shingle_sets(batch.column("text")):
-                if len(s) and have[(d := digest(s))[0] % (1 << bits)] and d not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(d)
-                    found.append((d[0], d[1], s.view(np.int64)))
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["h", "h2", "elements"]
-                )
-
-    sets = rows.mapInArrow(run, "h long, h2 long, elements array<long>")
+        have = np.unpackbits(shared.value).astype(bool)
+        for batch in texts_once(batches, lambda keys: have[keys % bits]):
+            elements, sizes = shingle_sets(batch.column("text"))
+            some = sizes > 0
+            one, two = digests(elements, sizes)
+            ends = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(one[some]), pa.array(two[some]), pa.ListArray.from_arrays(pa.array(ends), pa.array(elements.view(np.int64)))], ["h", "h2", "elements"])
+
+    sets = rows.select("text", "t").mapInArrow(run, "h long, h2 long, elements array<long>")
     return sets.dropDuplicates(["h", "h2"]).select("h", "elements")
 
 
@@ -292,13 +377,22 @@ def meet(members: DataFrame, info: DataFrame, similar: int) -> DataFrame:
     return dealt.groupBy("sig", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, rows: DataFrame, similar: int) -> DataFrame:
+def verify(pairs: DataFrame, rows: DataFrame, info: DataFrame, similar: int) -> DataFrame:
     """Those of ``pairs`` (a, b: digests) whose sets are similar, by their exact intersection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            sides = [np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1]) for c in (batch.column("ea"), batch.column("eb"))]
+            for x, y in zip(*sides, strict=True):
+                i = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(100 * i >= similar * (len(x) + len(y) - i))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    sets = durable(wanted_sets(rows, ids))
+    sets = durable(wanted_sets(rows, info.join(ids, "h", "left_semi").select("t")))
     both = pairs.join(sets.select(F.col("h").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("h").alias("a"), F.col("elements").alias("ea")), "a")
-    both = both.withColumn("i", F.size(F.array_intersect("ea", "eb")))
-    return both.filter(f"100 * i >= {similar} * (size(ea) + size(eb) - i)").select("a", "b")
+    return both.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -313,8 +407,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = _rows(docs, id_col, text_col)
     sets = durable(document_sets(rows, id_type))
-    classes = sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    info = durable(classes.groupBy(F.col("h1").alias("h")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min("t").alias("t"), F.first("sketch").alias("sketch"))
+    info = durable(classes.groupBy(F.col("h1").alias("h")).agg(F.first("n").alias("n"), F.min("t").alias("t"), F.first("sketch").alias("sketch")))
 
     # groups of two or more different sets; all steps keep the partitioning by signature
     by_sig = Window.partitionBy("sig")
@@ -330,7 +424,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     stars = hubs.filter("h <> hub").groupBy(F.col("hub").alias("a"), F.col("h").alias("b")).agg(F.count("*").alias("shared"), F.min("spare").alias("spare"))
     best = stars.filter("2 * shared > spare").groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     best = durable(possible(best, info, similar))
-    edges = durable(verify(best, rows, similar))
+    edges = durable(verify(best, rows, info, similar))
     found = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # 2. all members of a group that are still apart. A set with enough signatures outside
@@ -353,7 +447,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     pairs = pairs.filter("shared > greatest(spare_a, spare_b) - least(n_large_a, n_large_b)").select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
     pairs = possible(pairs.distinct(), info, similar).union(meet(still.filter(F.col("members") > LARGE), info, similar)).distinct()
     pairs = pairs.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = verify(durable(pairs), rows, similar)
+    more = verify(durable(pairs), rows, info, similar)
     edges = edges.select("a", "b").union(more)
 
     # classes to documents: components take the smallest id of all classes in them

@@ -9,6 +9,7 @@ from . import brute
 
 
 def check_jaccard(df):
+    """Against all pairs that share a shingle."""
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     want = brute.jaccard_components(rows)
     got = jaccard_join.link(df).collect()
@@ -42,6 +43,45 @@ def test_jaccard_chains_ties_and_hot_passages(spark, monkeypatch):
     check_jaccard(df)
 
 
+def test_jaccard_large_groups_meet_in_several_blocks(spark, monkeypatch):
+    """Sets that share most of their signatures with a whole group, but only few of which are similar."""
+    monkeypatch.setattr(jaccard_join, "LARGE", 4)
+    monkeypatch.setattr(jaccard_join, "MEET", 8)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = []
+    for size in (24, 40, 70):
+        passage = [word() for _ in range(size)]
+        for _ in range(40):  # near one another, at the threshold on both sides
+            rows.append(" ".join([*passage, *[word() for _ in range(rng.randrange(1, size // 4))]]))
+    passage = [word() for _ in range(30)]
+    for _ in range(40):  # pairs that are similar beside a passage that all have
+        own = [word() for _ in range(20)]
+        rows += [" ".join([*passage, *own]), " ".join([*passage, *own[:-1], word()])]
+    rng.shuffle(rows)
+    met = []
+    meet = jaccard_join.meet
+    monkeypatch.setattr(jaccard_join, "meet", lambda members, *a: met.append(members.agg({"members": "max"}).first()[0]) or meet(members, *a))
+    check_jaccard(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4))
+    assert met and met[0] is not None and met[0] > 2 * 8
+
+
+def test_words_in_pieces(monkeypatch):
+    """Texts cut into pieces of any length have the same shingles."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ab  \n\tÄ", k=rng.randrange(60))) for _ in range(200)] + ["x" * 50, "", None, "  ", "a " * 40, "ÄÖ " * 9]
+    whole = jaccard_join.shingle_sets(pa.array(texts))
+    one = [jaccard_join.shingle_sets(pa.array([t], pa.string())) for t in texts]
+    assert whole[1].tolist() == [int(n[0]) for _, n in one] == [len(brute.shingles(t)) for t in texts]
+    assert whole[0].tolist() == np.concatenate([e for e, _ in one]).tolist()
+    for size in (1, 2, 3, 7, 16):
+        monkeypatch.setattr(jaccard_join, "HASH_BYTES", size)
+        again = jaccard_join.shingle_sets(pa.array(texts))
+        assert again[0].tolist() == whole[0].tolist() and again[1].tolist() == whole[1].tolist()
+
+
 def test_jaccard_odd_rows(spark):
     df = spark.createDataFrame([(None, "one two three four five six"), (7, "one two three four five six"), (7, "one two three four five six"), (8, None)], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df).collect())
@@ -61,9 +101,10 @@ def test_partenum_finds_every_near_pair(size):
         for c in (grown, b):
             i = len(np.intersect1d(a, c))
             if len(c) and 100 * i >= 80 * (len(np.unique(a)) + len(c) - i):
-                x = np.concatenate([s for s, _, _ in jaccard_join.signatures(np.unique(a))])
-                y = np.concatenate([s for s, _, _ in jaccard_join.signatures(c)])
-                assert len(np.intersect1d(x, y))
+                owner, sig, split, spare = jaccard_join.signatures(np.concatenate([np.unique(a), c]), np.array([size, len(c)]))
+                x, y = ({s: (k, m) for o, s, k, m in zip(owner.tolist(), sig.tolist(), split.tolist(), spare.tolist(), strict=True) if o == side} for side in (0, 1))
+                # as many are shared as each of the two has to spare, and one more
+                assert any(sum(k == x[s][0] for s in {*x} & {*y}) > max(x[t][1], y[t][1]) for t in {*x} & {*y} for k in (x[t][0],))
 
 
 def test_components(spark):
