@@ -1,21 +1,20 @@
 """Main text of web pages by a tree-structured graphical model.
 
-Every element of a page is a node that is content or not. A node's potential comes from
-its tag, its class and id words and its text; a parent-child potential says how content
-goes together along an edge of the tree. Sum-product messages pass from the leaves up and
-from the root down, which gives each node's exact marginal. All parameters are frequencies
-counted on labelled pages.
+Every element of a page is a node that is content or not. A parent-child potential says how
+likely the child is content beside its parent's state, from the child's tag, its class and
+id words and its own text. Sum-product messages pass from the leaves up and from the root
+down, which gives each node's exact marginal. The weights maximise the likelihood of
+labelled pages; the gradient of that comes from the same messages.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from html import unescape
-from math import log
+from html import escape, unescape
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -24,44 +23,79 @@ from pyspark.sql import functions as F
 
 from .common import blocks
 
-#: Elements of HTML by how they are read (fixed values).
+#: Elements of HTML by how they are read (fixed values). What is in none of them is inline.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math object xmp noframes".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+UNSEEN = set("script style textarea title template iframe noframes select".split())
+CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
+BLOCK = CLOSES_P | set("html head body button caption colgroup dd dt legend li noscript tbody td tfoot th thead tr".split())
 #: What an open element of the first kind is closed by: its own kind, up to the container.
-SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
+SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 LABEL = re.compile(r"\bdata-(main|off)\b")
+BODY = re.compile(r"<body[\s>]", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
-#: Hand-labelled pages that the model is trained on: data-main marks elements whose subtree is
-#: content, data-off those inside that are not; each ~ stands for a sentence.
-LABELLED = [
-    '<html><head></head><body><header class="site-header"><a href="/">Site</a><nav class="menu"><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav></header><main data-main><h1>Title of it</h1><p>~~~</p><p>~~<b>~</b> and <a href="/x">a link</a>.</p></main><aside class="sidebar"><h3>Related</h3><ul><li><a href="/r">R</a></li><li><a href="/q">Q</a></li></ul><p>~</p></aside><footer class="footer"><p>~</p></footer></body></html>',
-    '<html><head></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav><div class="ad">~~</div><article data-main><h1>Title</h1><p><b>~</b><br></p><p>~~~~</p><ul><li>~</li><li>point two</li></ul><p>~~</p></article><footer>~~</footer></body></html>',
-    '<html><body><div id="cookie-notice" class="notice banner"><p>~~</p><button>Accept</button></div><div id="header"><h2>Site</h2></div><div id="content" data-main><h1>Title</h1><p>~~~</p><blockquote><p>~~</p></blockquote><h2>Part</h2><p>~~~</p><div class="ad advert" data-off><p>~~</p></div><p>~~</p></div><div id="comments" class="comments"><h3>Comments</h3><div class="comment"><p>~~~</p></div><div class="comment reply"><p>~~</p></div><form><label>Name</label><p>~</p></form></div><div id="footer"><p>~</p></div></body></html>',
-    '<html><body><div class="wrapper"><div class="navbar"><a href="/a">One</a><a href="/b">Two</a></div><div class="post-content entry" data-main><h1>Title</h1><div><p>~~~</p><p>~~</p></div><pre>~</pre><table><tr><th>h</th><td>v</td></tr></table><figure><figcaption>~</figcaption></figure></div><div class="sidebar widget"><p>~~</p></div><div class="advert sponsored promo"><p>~</p></div><section class="related share social"><p>~</p><a href="/z">Z</a></section></div></body></html>',
-    '<html><body><header><h1>Name of the site</h1><p>~</p></header><section class="newsletter subscribe popup"><p>~</p><form><button>Go</button></form></section><article class="article story text" data-main><header class="entry"><h1>Title</h1></header><section><h2>Part</h2><p>~~~</p></section><section><p>~~~</p><dl><dt>term</dt><dd>~</dd></dl></section><aside class="share" data-off><ul><li><a href="/s">Share</a></li></ul></aside></article><section id="reader-comments" class="responses replies disqus"><article class="comment"><p>~~</p></article><article class="comment"><p>~~~</p></article></section><aside class="alert warning gdpr consent modal"><p>~</p></aside><footer class="copyright legal"><nav><a href="/t">Terms</a></nav></footer></body></html>',
-    '<html><body><ul class="breadcrumb pagination tags"><li><a href="/1">1</a></li></ul><article data-main><h1>Title</h1><p>~~</p><form data-off><label>Mail</label><p>~</p><button>Send</button></form></article><div class="ads banner">~</div></body></html>',
-    '<html><body data-main><nav data-off><ul><li><a href="/m">M</a></li></ul></nav><h1>Title</h1><p>~~</p><p>~~~</p><p>~~~</p><div class="ad" data-off>~~</div><p>~~</p><footer data-off><p>~</p></footer></body></html>',
-    '<html><body data-main><p>~~</p>~~<div>~~~</div><div>~~</div><header data-off><a href="/">Site</a></header></body></html>',
-    '<html><body><nav></nav><div class="cookie consent"><p>~</p></div><main class="main" data-main><article class="body"><h1>Title</h1><p>~~~</p><p>Short one.</p><h3>Sub</h3><p>~~</p><ol><li>~</li></ol></article><section class="comments" data-off><h2>Comments</h2><ul><li class="comment"><p>~~</p></li><li class="comment"><p>~</p></li></ul></section></main><div class="recommended popular trending"><a href="/u">~</a></div><div class="search login signup"><form><label>L</label></form></div><footer><div>~</div><div>~</div></footer></body></html>',
-    '<html><body><div class="notice" role="alert"><p>~</p></div><div class="header masthead top"><a href="/">Site</a></div><div class="main"><div class="content" data-main><h2>Title</h2><p>~~</p><p>~~~~</p></div><div class="side column menu toc"><ul><li><a href="/1">~</a></li></ul></div></div><div class="bottom footer colophon">~</div></body></html>',
+#: Hand-labelled parts of pages that the model is trained on: data-main marks elements whose
+#: subtree is content, data-off those inside that are not; each ~ stands for a sentence.
+MAINS = [
+    "<article data-main><h1>Title of it</h1><p>~~~</p><p>~~<b>~</b> and <a href='/x'>a link</a>.</p></article>",
+    "<main data-main><h1>Title</h1><p>~~</p><ul><li>~</li><li>point two</li></ul><h2>Part</h2><p>~~~</p><ol><li>one</li><li>two</li></ol></main>",
+    "<div id='content' data-main><h1>Title</h1><p>~~~</p><blockquote><p>~~</p></blockquote><div class='ad advert' data-off><p>~~</p></div><p>~~</p></div>",
+    "<div class='post-content entry' data-main><h1>Title</h1><div><p>~~~</p><p>~~</p></div><pre>~</pre><table><tr><th>h</th><td>v</td></tr></table><figure><figcaption>~</figcaption></figure></div>",
+    "<article data-main><ul><li>one</li><li>two</li><li>~</li></ul></article>",
+    "<article data-main><table><tr><th>name</th><th>n</th></tr><tr><td>~</td><td>1</td></tr></table></article>",
+    "<article class='article story text' data-main><header class='entry'><h1>Title</h1><p>~</p></header><section><h2>Part</h2><p>~~~</p></section><section><p>~~~</p><dl><dt>term</dt><dd>~</dd></dl></section><aside class='share' data-off><ul><li><a href='/s'>Share</a></li></ul></aside></article>",
+    "<main class='main' data-main><article class='body'><h1>Title</h1><p>~~~</p><p>Short one.</p><h3>Sub</h3><p>~~</p></article><section class='comments' data-off><h2>Comments</h2><ul><li class='comment'><p>~~</p></li><li class='comment'><p>~~~</p></li></ul></section></main>",
+    "<main data-main><p>~~~</p><p>~~~</p><div class='comment' data-off><p>~~~</p><p>~~~~</p></div><div class='comment reply' data-off>~~</div></main>",
+    "<div class='main'><div class='content' data-main><h2>Title</h2><p>~~</p><p>~~~~</p><nav class='toc' data-off><ul><li><a href='/1'>~</a></li></ul></nav><p>~</p></div><div class='side column menu' data-off><ul><li><a href='/1'>~</a></li></ul></div></div>",
+    "<article data-main><h1>Title</h1><p>~~</p><form data-off><label>Mail</label><p>~</p><button>Send</button></form><p>~~</p></article>",
+    "<div class='page'><div><div data-main><p>~~~</p><p>~~</p><p>~</p></div></div></div>",
+    "<table class='layout'><tr><td class='menu' data-off><a href='/1'>One</a><a href='/2'>Two</a></td><td data-main><h1>Title</h1><p>~~~</p><p>~</p></td></tr></table>",
+    "<article data-main><p>Short.</p></article>",
+    "<main data-main><p>~</p></main>",
+    "<section class='story' data-main><h2>Title</h2>~~<p>~~</p><div class='box promo newsletter' data-off><p>~</p></div><p>~</p></section>",
+    "<article data-main><h1>Title</h1><p>~~~</p><figure><figcaption>~</figcaption></figure><footer data-off><p>~</p></footer></article>",
+    "<div class='row'><div class='col' data-main><h1>Title</h1><p>~~~</p><p>~</p></div><div class='col' data-off><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></div></div>",
+    "<div class='article' data-main><dl><dt>term</dt><dd>~</dd><dt>term</dt><dd>~~</dd></dl><pre>~</pre></div>",
+]
+#: Content that stands right in the body.
+BARE = ["<p>~</p>", "<p>~~</p>~~<div>~~~</div><div>~~</div>", "<h1>Title</h1><p>~~</p><p>~~~</p><p>~~~</p>", "~~", "<h1>Title</h1><ul><li>~</li><li>two</li></ul>", "<div>~</div>", "<h2>Title</h2><table><tr><td>~</td><td>2</td></tr></table><p>~~</p>", "few words"]
+#: What stands around it, before and after.
+AROUND = [
+    ("<header class='site-header' data-off><a href='/'>Site</a><nav class='menu'><ul><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul></nav></header>", "<aside class='sidebar' data-off><h3>Related</h3><ul><li><a href='/r'>R</a></li><li><a href='/q'>~</a></li></ul><p>~</p></aside><footer class='footer' data-off><p>~</p></footer>"),
+    ("<nav data-off><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav><div class='ad' data-off>~~</div>", "<footer data-off>~~</footer>"),
+    ("<div id='cookie-notice' class='notice banner' data-off><p>~~</p><button>Accept</button></div><div id='header' data-off><h2>Site</h2></div>", "<div id='comments' class='comments' data-off><h3>Comments</h3><div class='comment'><p>~~~</p></div><div class='comment reply'><p>~~</p></div><form><label>Name</label><p>~</p></form></div><div id='footer' data-off><p>~</p></div>"),
+    ("<div class='navbar' data-off><a href='/a'>One</a><a href='/b'>Two</a></div>", "<div class='sidebar widget' data-off><p>~~</p></div><div class='advert sponsored promo' data-off><p>~</p></div><section class='related share social' data-off><p>~</p><a href='/z'>Z</a></section>"),
+    ("", ""),
+    ("<header data-off><h1>Name of the site</h1><p>~</p></header><section class='newsletter subscribe popup' data-off><p>~</p><form><button>Go</button></form></section>", "<section id='reader-comments' class='responses replies disqus' data-off><article class='comment'><p>~~</p></article><article class='comment'><p>~~~</p></article></section><aside class='alert warning gdpr consent modal' data-off><p>~</p></aside><footer class='copyright legal' data-off><nav><a href='/t'>Terms</a></nav></footer>"),
+    ("<ul class='breadcrumb pagination tags' data-off><li><a href='/1'>1</a></li></ul>", "<div class='ads banner' data-off>~</div><div class='search login signup' data-off><form><label>L</label></form></div>"),
+    ("<div class='notice' role='alert' data-off><p>~</p></div><div class='header masthead top' data-off><a href='/'>Site</a></div>", "<div class='recommended popular trending' data-off><a href='/u'>~</a></div><div class='bottom footer colophon' data-off>~</div>"),
+    ("<div class='cookie consent' data-off>~<button>OK</button></div><nav data-off></nav>", "<aside data-off><p>~~</p></aside><div class='comment-list' data-off><div class='comment'>~~</div></div><footer data-off><div>~</div><div>~</div></footer>"),
 ]
 SENTENCE = "Here stands a sentence with some ten words in it. "
 
 
+def labelled_pages() -> list[str]:
+    """Every part of MAINS and BARE alone and in three surroundings."""
+    pages = []
+    for k, part in enumerate(MAINS + BARE):
+        bare = " data-main" if k >= len(MAINS) else ""
+        for j in range(4):
+            before, after = AROUND[(2 * k + 3 * j + 1) % len(AROUND)] if j < 3 else ("", "")
+            inner = f"{before}{part}{after}"
+            pages.append(f"<html><head></head><body{bare}>{inner if bare or j != 1 else f'<div class=wrapper>{inner}</div>'}</body></html>".replace("~", SENTENCE))
+    return pages
+
+
 @dataclass
 class Node:
     tag: str
     words: frozenset
     parent: int
-    hidden: bool
     label: str
     size: int = 0  # characters of its own text
     linked: int = 0  # links inside it, own or in its text
@@ -71,31 +105,41 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements in page order with their parents (block elements only), and blocks of text: (element, text).
 
     Inline elements and unknown ones do not part blocks; an end tag closes up to its start,
-    one without start is ignored.
+    one without start is ignored. Hidden elements are left out with all that they hold. Time
+    is linear in the page: the last open element of each tag is known.
     """
-    nodes, blocks_, open_, text = [Node("#root", frozenset(), -1, False, "")], [], [0], []
+    nodes, blocks_, open_, text = [Node("#root", frozenset(), -1, "")], [], [0], []
+    places: dict[str, list[int]] = {}
+    if not BODY.search(html):  # implied
+        nodes.append(Node("body", frozenset(), 0, ""))
+        open_.append(1)
+        places["body"] = [1]
     position = 0
+    shut = None  # depth of the hidden element that is open
 
     def flush():
         if text:
-            blocks_.append((open_[-1], "".join(text)))
+            if shut is None:
+                blocks_.append((open_[-1], "".join(text)))
             text.clear()
 
     def close_to(depth: int):
+        nonlocal shut
         if depth < len(open_):
             flush()
-            del open_[depth:]
-
-    def depth_of(kinds: set, stop: set) -> int:
-        for d in range(len(open_) - 1, 0, -1):
-            if nodes[open_[d]].tag in kinds:
-                return d
-            if nodes[open_[d]].tag in stop:
-                break
-        return len(open_)
-
-    matches = TOKEN.finditer(html)
-    for m in matches:
+            while len(open_) > depth:
+                places[nodes[open_.pop()].tag].pop()
+            if shut is not None and depth <= shut:
+                shut = None
+
+    def last(kinds) -> int:
+        return max((p[-1] for k in kinds if (p := places.get(k))), default=0)
+
+    def depth_of(kinds, stop) -> int:
+        d = last(kinds)
+        return d if d > last(stop) else len(open_)
+
+    for m in TOKEN.finditer(html):
         if m.start() < position:
             continue
         if m.start() > position:
@@ -105,39 +149,49 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         end, tag, attributes = m[1], m[2].lower(), m[3] or ""
         if end:
-            if tag in INLINE:
-                continue
             if tag == "br":
                 text.append(" ")
-            else:
-                close_to(depth_of({tag}, set()))
+            elif tag in BLOCK:
+                close_to(depth_of((tag,), ()))
             continue
-        if tag in ("script", "style") or tag in RAW:
-            close = re.compile(f"</{re.escape(tag)}(?![a-z0-9])[^>]*>?", re.I).search(html, position)
-            position = close.end() if close else len(html)
+        if tag in UNSEEN:
+            position = _after(html, tag, position)
             if tag in ("title", "textarea"):
                 flush()
             continue
-        if tag in INLINE:
-            nodes[open_[-1]].linked += tag == "a"
-            continue
         if tag in VOID:
             if tag in ("br", "wbr", "img", "input"):
                 text.append(" " if tag != "wbr" else "")
             else:
                 flush()
             continue
+        if tag not in BLOCK:
+            nodes[open_[-1]].linked += tag == "a"
+            continue
         if tag in CLOSES_P:
-            close_to(depth_of({"p"}, {"table", "button", "object"}))
+            close_to(depth_of(("p",), ("table", "button")))
         if tag in SIBLINGS:
             kinds, stop = SIBLINGS[tag]
             while (d := depth_of(kinds, stop)) < len(open_):
                 close_to(d)
         flush()
-        words = frozenset(w for a in NAMES.finditer(attributes) for w in WORD.findall((a[1] or a[2] or a[3] or "").lower()))
-        nodes.append(Node(tag, words, open_[-1], bool(HIDDEN.search(attributes)), (LABEL.search(attributes) or ("", ""))[1]))
-        if not attributes.rstrip().endswith("/") or tag in CLOSES_P:
+        if shut is None:
+            words = frozenset(w for a in NAMES.finditer(attributes) for w in WORD.findall((a[1] or a[2] or a[3] or "").lower()))
+            nodes.append(Node(tag, words, open_[-1], (LABEL.search(attributes) or ("", ""))[1]))
+        else:
+            nodes.append(Node(tag, frozenset(), open_[-1], ""))
+        if tag == "xmp":  # shown as it is written
+            close = _after(html, tag, position)
             open_.append(len(nodes) - 1)
+            places.setdefault(tag, []).append(len(open_) - 1)
+            text.append(escape(re.sub(r"(?i)</xmp[^>]*>?$", "", html[position:close])))
+            position = close
+            close_to(len(open_) - 1)
+        elif not attributes.rstrip().endswith("/") or tag in CLOSES_P:
+            open_.append(len(nodes) - 1)
+            places.setdefault(tag, []).append(len(open_) - 1)
+            if shut is None and HIDDEN.search(attributes):
+                shut = len(open_) - 1
     if position < len(html):
         text.append(html[position:])
     flush()
@@ -147,9 +201,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, found
 
 
+def _after(html: str, tag: str, position: int) -> int:
+    """Where the content of an element that holds no elements ends, its end tag included."""
+    close = re.compile(f"</{tag}(?![a-z0-9])[^>]*>?", re.I).search(html, position)
+    return close.end() if close else len(html)
+
+
 def features_of(n: Node) -> list[str]:
     """Tag, class and id words, and how much text of its own a node has, linked or not."""
-    out = [n.tag, *("." + w for w in n.words)]
+    out = ["*", n.tag, *("." + w for w in n.words)]
     if n.size:
         out.append("#linked" if n.linked and n.size < 60 * n.linked else "#short" if n.size < 40 else "#text" if n.size < 120 else "#long")
     return out
@@ -157,63 +217,95 @@ def features_of(n: Node) -> list[str]:
 
 @dataclass
 class Model:
-    """Log ratios of how often a feature comes with content, and log potentials of (parent, child) states."""
+    """Weights of each feature of a child: if it is content, if it starts content (its parent is none), if it ends content."""
 
-    features: dict[str, float]
-    edge: np.ndarray
+    weights: dict[str, tuple[float, float, float]]
 
-    def potentials(self, nodes: list[Node]) -> np.ndarray:
-        out = np.zeros((len(nodes), 2))
-        out[0, 1] = -20  # the root is not content
-        for i, n in enumerate(nodes[1:], 1):
-            out[i, 1] = sum(self.features.get(f, 0.0) for f in features_of(n)) - 20.0 * n.hidden
+    def potentials(self, nodes: list[Node]) -> list[tuple[float, float, float]]:
+        """Log potentials of (parent, child) for (no, yes), (yes, no) and (yes, yes), over those of (no, no)."""
+        out, none = [(0.0, 0.0, 0.0)], (0.0, 0.0, 0.0)
+        for n in nodes[1:]:
+            own = [self.weights.get(f, none) for f in features_of(n)]
+            inside = sum(w[0] for w in own)
+            out.append((inside + sum(w[1] for w in own), sum(w[2] for w in own), inside))
         return out
 
-    def marginals(self, nodes: list[Node]) -> np.ndarray:
-        """Probability that each node is content, by sum-product up and down the tree."""
-        own, edge, n = self.potentials(nodes).tolist(), self.edge.tolist(), len(nodes)
-        (e00, e01), (e10, e11) = edge
+    def marginals(self, nodes: list[Node]) -> list[float]:
+        """Probability that each node is content, by sum-product up and down the tree; the root is none."""
+        pair, n = self.potentials(nodes), len(nodes)
+        below = [[0.0, 0.0] for _ in nodes]  # log weights of a node's states from below
         up = [(0.0, 0.0)] * n  # message to the parent, by the parent's state
         for i in range(n - 1, 0, -1):  # children come after their parents
-            a0, a1 = own[i]
-            m0, m1 = _add(e00 + a0, e01 + a1), _add(e10 + a0, e11 + a1)
-            up[i] = (m0, m1)
-            p = own[nodes[i].parent]
-            p[0] += m0
-            p[1] += m1
-        belief = own  # what a node knows from below, then also from above
-        for i in range(1, n):
-            p0, p1 = belief[nodes[i].parent]
-            p0, p1 = p0 - up[i][0], p1 - up[i][1]
-            belief[i][0] += _add(p0 + e00, p1 + e10)
-            belief[i][1] += _add(p0 + e01, p1 + e11)
-        b = np.array(belief)
-        return 1 / (1 + np.exp(np.clip(b[:, 0] - b[:, 1], -700, 700)))
+            (e01, e10, e11), (a0, a1), above = pair[i], below[i], below[nodes[i].parent]
+            up[i] = m0, m1 = _add(a0, e01 + a1), _add(e10 + a0, e11 + a1)
+            above[0] += m0
+            above[1] += m1
+        belief, out = below, [0.0] * n
+        belief[0][1] = belief[0][0] - 1e6
+        for i in range(1, n):  # what a node knows from below, then also from above
+            (e01, e10, e11), (m0, m1), (b0, b1), own = pair[i], up[i], belief[nodes[i].parent], belief[i]
+            p0, p1 = b0 - m0, b1 - m1
+            own[0] += _add(p0, p1 + e10)
+            own[1] += _add(p0 + e01, p1 + e11)
+            d = own[0] - own[1]
+            out[i] = 1 / (1 + exp(d)) if d < 700 else 0.0
+        return out
 
 
 def _add(a: float, b: float) -> float:
     """log(exp(a) + exp(b))"""
-    from math import exp, log1p
-
     return a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b))
 
 
-@lru_cache(maxsize=1)
-def train(pages: tuple[str, ...] = tuple(LABELLED)) -> Model:
-    """Counts features by state and states by parent's state on labelled pages, each smoothed by a half."""
-    edges = np.full((2, 2), 0.5)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    total = [0, 0]
-    for page in pages:
-        nodes, _ = parse(page.replace("~", SENTENCE))
-        state = [0]
-        for n in nodes[1:]:
-            state.append({"main": 1, "off": 0}.get(n.label, state[n.parent]))
-            edges[state[n.parent], state[-1]] += 1
-            total[state[-1]] += 1
-            seen[state[-1]].update({*features_of(n)})
-    rate = lambda f, k: (seen[k][f] + 0.5) / (total[k] + 1)
-    return Model({f: log(rate(f, 1) / rate(f, 0)) for f in {*seen[0], *seen[1]}}, np.log(edges / edges.sum(1, keepdims=True)))
+@lru_cache(maxsize=4)
+def train(pages: tuple[str, ...] | None = None, penalty: float = 0.02, steps: int = 300) -> Model:
+    """Weights of most likelihood over labelled pages, less a penalty on their squares, by gradient ascent.
+
+    The pages are one forest whose messages pass level by level.
+    """
+    parent, state, found = [], [], []
+    for page in pages or labelled_pages():
+        nodes, _ = parse(page)
+        first = len(parent)
+        for n in nodes:
+            parent.append(n.parent + first if n.parent >= 0 else -1)
+            state.append(0 if n.parent < 0 else {"main": 1, "off": 0}.get(n.label, state[parent[-1]]))
+            found.append(features_of(n) if n.parent >= 0 else [])
+    names = sorted({f for fs in found for f in fs})
+    at = {f: k for k, f in enumerate(names)}
+    child, feature = (np.array(x) for x in zip(*((i, at[f]) for i, fs in enumerate(found) for f in fs), strict=True))
+    parent, state = np.array(parent), np.array(state)
+    depth = np.zeros(len(parent), np.int64)
+    for i in np.flatnonzero(parent >= 0):
+        depth[i] = depth[parent[i]] + 1
+    levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+    above = np.where(parent >= 0, state[parent], 0)
+    real = parent >= 0
+    total = lambda x: np.bincount(feature, weights=x[child], minlength=len(names))
+    seen = np.stack([total(state * real), total(state * (1 - above) * real), total((1 - state) * above * real)])
+    w, mean, square = np.zeros((3, len(names))), 0.0, 0.0
+    for step in range(1, steps + 1):
+        inside, start, stop = (np.bincount(child, weights=k[feature], minlength=len(parent)) for k in w)
+        pair = np.zeros((len(parent), 2, 2))
+        pair[:, 0, 1], pair[:, 1, 0], pair[:, 1, 1] = inside + start, stop, inside
+        below, up = np.zeros((len(parent), 2)), np.zeros((len(parent), 2))
+        for level in reversed(levels):
+            up[level] = np.logaddexp(pair[level, :, 0] + below[level, None, 0], pair[level, :, 1] + below[level, None, 1])
+            np.add.at(below, parent[level], up[level])
+        belief = below.copy()
+        belief[~real, 1] = -1e6
+        joint = np.zeros((len(parent), 2, 2))
+        for level in levels:
+            rest = belief[parent[level]] - up[level]
+            both = rest[:, :, None] + pair[level] + below[level, None, :]
+            belief[level] = np.logaddexp(both[:, 0], both[:, 1])
+            both = np.exp(both - both.max(axis=(1, 2), keepdims=True))
+            joint[level] = both / both.sum(axis=(1, 2), keepdims=True)
+        expected = np.stack([total(joint[:, :, 1].sum(1)), total(joint[:, 0, 1]), total(joint[:, 1, 0])])
+        slope = seen - expected - penalty * w
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
+        w = w + 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    return Model({f: tuple(w[:, k].tolist()) for f, k in at.items()})
 
 
 def main_text(html: str | None, model: Model) -> str:
@@ -233,8 +325,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     """
     kinds = {f"_{i}": pages.schema[c].dataType.simpleString() for i, c in enumerate((id_col, *keep))}
 
+    model = train()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = train()
         for batch in blocks(batches, "html"):
             texts = [main_text(h, model) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kinds), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kinds, "text", "n_chars"])
