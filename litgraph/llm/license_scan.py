@@ -3,13 +3,16 @@
 A notice that may hold k errors is split into k + 1 pieces, of which one at least stands
 unchanged in any match (pigeonhole). The pieces are looked up exactly; around each place
 found, the regex library's error-bounded matching verifies the notice and gives its span.
+Words that tell licenses apart, such as names and versions, must stand unchanged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -19,17 +22,17 @@ from .common import blocks
 
 #: Notices whose exact places are the base result (fixed values).
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Notices searched with errors: label, words, most edits (fixed values).
+#: Notices searched with errors: label, words (* before those that take none), most edits (fixed values).
 FUZZY = [
-    ("mit", "under the mit license", 2),
-    ("apache-2", "apache license version 2", 2),
+    ("mit", "under the *mit license", 2),
+    ("apache-2", "*apache license version *2", 2),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 4),
     ("bsd", "redistribution and use in source and binary forms", 4),
-    ("gpl", "gnu general public license", 3),
-    ("lgpl", "gnu lesser general public license", 3),
-    ("mpl-2", "mozilla public license version 2", 3),
-    ("cc-by-nc", "creative commons attribution noncommercial", 3),
-    ("cc-by", "creative commons attribution 4 0 international", 3),
+    ("gpl", "*gnu *general public license", 3),
+    ("lgpl", "*gnu *lesser general public license", 3),
+    ("mpl-2", "*mozilla public license version *2", 3),
+    ("cc-by-nc", "creative commons *attribution *noncommercial", 3),
+    ("cc-by", "creative commons *attribution *4 *0 international", 3),
 ]
 #: Lower case for A-Z; what parts words becomes a space.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -41,19 +44,50 @@ def words_of(text: str) -> bytes:
     return b" " + b" ".join(found) + b" " if found else b" "
 
 
+class Words:
+    """The words of a text, each followed and the first preceded by one space, and their numbers."""
+
+    def __init__(self, text: str | None):
+        self.bytes = words_of(text or "")
+        self.count = self.bytes.count(b" ") - 1
+
+    @cached_property
+    def spaces(self) -> np.ndarray:
+        return np.flatnonzero(np.frombuffer(self.bytes, np.uint8) == 32)
+
+    def number(self, at: int) -> int:
+        """How many words begin before a place."""
+        return int(np.searchsorted(self.spaces, at))
+
+
 @dataclass
 class Notice:
     label: str
-    phrase: str
+    words: str
     edits: int
+    phrase: str = field(init=False)
     seeds: list[tuple[bytes, int]] = field(init=False)
     pattern: regex.Pattern = field(init=False)
 
     def __post_init__(self):
+        self.phrase = self.words.replace("*", "")
         raw, n = self.phrase.encode(), self.edits + 1
         cuts = [len(raw) * i // n for i in range(n + 1)]
         self.seeds = [(raw[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(self.phrase)}){{e<={self.edits}}}(?![^ ])".encode())
+        # stretches of words with errors between words without any
+        parts, loose = [], ""
+        for k, word in enumerate(self.words.split()):
+            if word[0] == "*":
+                parts += [self._loose(loose), f"(?<![^ ]){regex.escape(word[1:])}(?![^ ])"]
+                loose = ""
+            else:
+                loose += word
+            if k < self.words.count(" "):
+                loose += " "
+        self.pattern = regex.compile(f"(?b)(?<![^ ]){''.join(parts)}{self._loose(loose)}(?![^ ])".encode())
+
+    def _loose(self, text: str) -> str:
+        return text if not text.strip() else f"(?:{regex.escape(text)}){{e<={self.edits}}}"
 
     def spans(self, words: bytes) -> list[tuple[int, int, int]]:
         """Byte spans and edits of all matches, apart from one another."""
@@ -67,29 +101,33 @@ class Notice:
         for a, b in sorted(windows):
             a = max(a, end)
             while a < b and (m := self.pattern.search(words, a, min(b, len(words)))):
+                if sum(m.fuzzy_counts) > self.edits:  # each stretch has kept to the bound, all together have not
+                    a = m.start() + 1
+                    continue
                 found.append((*m.span(), sum(m.fuzzy_counts)))
                 a = end = m.end()
         return found
 
 
 def scan_text(text: str | None, base: dict[str, str], notices: list[Notice]) -> dict:
-    words = words_of(text or "")
+    words = Words(text)
     places, base_labels = [], set()
     for phrase, label in base.items():
         key = b" " + phrase.encode() + b" "
-        at = words.find(key)
+        at = words.bytes.find(key)
         while at >= 0:
-            places.append(words.count(b" ", 0, at))
+            places.append(words.number(at))
             base_labels.add(label)
-            at = words.find(key, at + 1)
+            at = words.bytes.find(key, at + 1)
     labels, spans, score = set(base_labels), [], 1.0 if places else 0.0
     for notice in notices:
-        for a, b, edits in notice.spans(words):
+        for a, b, edits in notice.spans(words.bytes):
             labels.add(notice.label)
             score = max(score, 1 - edits / len(notice.phrase))
-            spans.append({"label": notice.label, "first_word": words.count(b" ", 0, a) - 1, "n_words": words.count(b" ", a, b) + 1, "edits": edits})
+            first = words.number(a) - 1
+            spans.append({"label": notice.label, "first_word": first, "n_words": words.number(b) - first, "edits": edits})
     return {
-        "n_words": words.count(b" ") - 1, "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
+        "n_words": words.count, "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
         "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(labels)), "score": score, "spans": spans,
     }
 

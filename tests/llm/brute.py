@@ -23,6 +23,35 @@ def base_licenses(text, base):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def near_phrase(words, phrase, edits):
+    """Whether a span of words is the phrase with at most so many edits, none of them in words marked by *."""
+
+    def cost(w, p):
+        """Least edits of words w to the parts p: stretches of letters and, at odd places, fixed words."""
+        if len(p) == 1:
+            return distance(" ".join(w), p[0])
+        return min((distance(" ".join(w[:k]), p[0]) + cost(w[k + 1 :], p[2:]) for k in range(len(w)) if w[k] == p[1]), default=99)
+
+    parts, loose = [], []
+    for w in phrase:
+        if w[0] == "*":
+            parts += [" ".join(loose), w[1:]]
+            loose = []
+        else:
+            loose.append(w)
+    parts.append(" ".join(loose))
+    return any(cost(words[i:j], parts) <= edits for i in range(len(words)) for j in range(i + 1, len(words) + 1))
+
+
 def leaks(text, items, size=10):
     """(n_words, n_hit, sorted item ids)"""
     w, hit, found = words(text), set(), set()

@@ -94,17 +94,56 @@ def test_license_base_places(docs, odd, empty, spark):
     assert license_scan.scan_licenses(empty).collect() == []
 
 
-def test_license_seeds_lose_no_match():
-    """Every window with at most k edits is found, by comparison with the bare fuzzy pattern."""
-    rng = random.Random(4)
-    notice = license_scan.Notice("apache-2", "apache license version 2", 2)
-    for _ in range(300):
-        phrase = list(notice.phrase)
-        for _ in range(rng.randint(0, 3)):
-            at = rng.randrange(len(phrase))
-            phrase[at : at + 1] = rng.choice([[], ["q"], [phrase[at], "z"]])
-        words = license_scan.words_of(f"some words {''.join(phrase)} more words")
-        assert bool(notice.spans(words)) == bool(notice.pattern.search(words)), words
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("released under the MPL license", ""),
+        ("under the mu license, under the it licence, under the bit license", ""),
+        ("Apache License, Version 1 and Apache License, Version 1.1", ""),
+        ("Mozilla Public License Version 1.1", ""),
+        ("GNU Affero General Public License", ""),
+        ("Creative Commons Attribution NoDerivatives", ""),
+        ("Creative Commons Attribution 3.0 International", ""),
+        ("undr the MIT licence", "mit"),
+        ("Apache Licence, Versin 2.0", "apache-2"),
+        ("GNU General Publik Lisense", "gpl"),
+        ("the GNU Lesser General Public License", "lgpl"),
+        ("Mozilla Public Licence, version 2.0", "mpl-2"),
+        ("Redistribution and use in source or binary forms", "bsd"),
+        ("Creative Commons Attribution-NonCommercial", "cc-by-nc"),
+    ],
+)
+def test_license_rivals(text, labels):
+    assert license_scan.scan_text(text, license_scan.BASE, [license_scan.Notice(*n) for n in license_scan.FUZZY])["labels"] == labels
+
+
+def test_license_matches_edit_distances():
+    """Against edit distances of all spans of words, for notices with and without words that take no errors."""
+    rng, found = random.Random(4), 0
+    for words, edits in (("*apache license version *2", 2), ("under the *mit license", 2), ("use in source and binary forms", 3)):
+        notice = license_scan.Notice("x", words, edits)
+        for _ in range(200):
+            phrase = list(notice.phrase)
+            for _ in range(rng.randint(0, edits + 2)):
+                at = rng.randrange(len(phrase))
+                phrase[at : at + 1] = rng.choice([[], ["q"], [phrase[at], "z"]])
+            text = license_scan.words_of(f"so {''.join(phrase)} it")
+            want = brute.near_phrase(text.decode().split(), words.split(), edits)
+            assert bool(notice.spans(text)) == want, text
+            found += want
+    assert 100 < found < 550
+
+
+def test_license_spans_and_time():
+    import time
+
+    notices = [license_scan.Notice(*n) for n in license_scan.FUZZY]
+    got = license_scan.scan_text("It is, as said, under the mit licence. So under the MIT license.", license_scan.BASE, notices)
+    assert [(s["first_word"], s["n_words"], s["edits"]) for s in got["spans"]] == [(4, 4, 1), (9, 4, 0)] and (got["n_base"], got["first_word"], got["n_words"]) == (1, 9, 13)
+    began = time.time()
+    for text in ("cc by nc " * 110_000, "license " * 120_000, "under the " * 100_000):
+        license_scan.scan_text(text, license_scan.BASE, notices)
+    assert time.time() - began < 30
 
 
 def test_decontamination(spark, sf, docs, odd, empty):
