@@ -1,7 +1,7 @@
 """Language identification by rank-order profiles and the out-of-place distance.
 
 A profile is the most frequent letter n-grams (one to three letters, with word edges) in
-order of frequency. A document goes to the language whose profile its own ranking is
+order of frequency, in any script. A document goes to the language whose profile its own ranking is
 least out of place with; n-grams that a profile lacks count as out of place by its size.
 """
 
@@ -22,12 +22,12 @@ from pyspark.sql.window import Window
 from .common import blocks
 
 PROFILE = 300
-#: The classifier is fitted on at most this many labelled documents, the first by a hash of their id.
-TRAINING_DOCS = 4000
-#: Letters that have a place of their own; the others share OTHERS places by code point.
-LETTERS, OTHERS = 42, 5
-PLACES = LETTERS + OTHERS + 1
-N_CODES = PLACES**3 + PLACES**2 + PLACES
+#: The classifier is fitted on at most this many labelled documents of a language, the first by a hash.
+TRAINING_DOCS = 1000
+#: So many languages are learned, those with the most documents.
+LANGUAGES = 1000
+#: Stands for what is no letter: one more than the last code point.
+EDGE = sys.maxunicode + 1
 UNKNOWN = "und"
 
 
@@ -37,99 +37,88 @@ def is_letter() -> np.ndarray:
 
 
 def code_points(text: str) -> np.ndarray:
-    """Lower-case code points; one 0 stands for each stretch of what is no letter, and at both ends."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    points = np.where(is_letter()[points], points, 0)
-    keep = points > 0
-    keep[1:] |= points[:-1] > 0
+    """Lower-case code points; one EDGE stands for each stretch of what is no letter, and at both ends."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = is_letter()[points]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
     keep[0] = True
-    return points[keep]
+    return np.where(letter, points, EDGE)[keep].astype(np.int64)
 
 
-def alphabet(letters: list[int]) -> np.ndarray:
-    """Code point to place: 0 for what is no letter, 1 to LETTERS for the letters given, the rest by remainder."""
-    points = np.arange(sys.maxunicode + 1)
-    places = np.where(is_letter(), LETTERS + 1 + points % OTHERS, 0)
-    places[letters] = np.arange(1, len(letters) + 1)
-    return places.astype(np.int64)
-
-
-def gram_counts(text: str, places: np.ndarray) -> np.ndarray:
-    """How often each n-gram occurs: three places, then two, then one."""
-    p = places[code_points(text)]
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams in order, how often each occurs): one to three code points of 21 bits each, of any script."""
+    p = code_points(text)
     if len(p) < 3:
-        return np.zeros(N_CODES, np.int64)
-    two = p[:-1] * PLACES + p[1:]
-    codes = np.concatenate([two[:-1] * PLACES + p[2:], two + PLACES**3, p[p > 0] + PLACES**3 + PLACES**2])
-    return np.bincount(codes, minlength=N_CODES)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    two = (p[:-1] << 21) | p[1:]
+    return np.unique(np.concatenate([(two[:-1] << 21) | p[2:], two, p[p != EDGE]]), return_counts=True)
 
 
-def ranking(counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
-    """The codes of the most frequent n-grams, ties by code."""
-    codes = np.flatnonzero(counts)
-    n = counts[codes]
+def ranking(codes: np.ndarray, n: np.ndarray, size: int = PROFILE) -> np.ndarray:
+    """The most frequent n-grams, ties by code."""
     if len(codes) > size:
         keep = n >= np.partition(n, len(n) - size)[len(n) - size]
         codes, n = codes[keep], n[keep]
-    return codes[np.lexsort((codes, -n))][:size]
+    return codes[np.argsort(-n, kind="stable")][:size]
 
 
 @dataclass
 class Profiles:
     languages: list[str]
-    places: np.ndarray
-    ranks: np.ndarray  # by language and code; PROFILE where the profile lacks it
+    codes: np.ndarray  # all n-grams of the profiles, in order
+    ranks: np.ndarray  # by language and code; PROFILE where the profile lacks it, as in the last column
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = gram_counts(text or "", self.places)
-        if not counts.any() or not self.languages:
+        codes, n = gram_counts(text or "")
+        if not len(codes) or not self.languages:
             return UNKNOWN, 0.0
-        own = ranking(counts)
-        lacking = self.ranks[:, own]
+        own = ranking(codes, n)
+        at = np.searchsorted(self.codes, own)
+        known = self.codes[np.minimum(at, len(self.codes) - 1)] == own
+        lacking = self.ranks[:, np.where(known, at, len(self.codes))]
         distance = np.where(lacking < PROFILE, np.abs(lacking - np.arange(len(own))), PROFILE).sum(1)
         best = int(distance.argmin())
         return self.languages[best], float(1 - distance[best] / (PROFILE * len(own)))
 
 
+def profiles_of(ranked: list[tuple[str, int, int]]) -> Profiles:
+    """Profiles from (language, n-gram, rank)."""
+    languages, codes = sorted({r[0] for r in ranked}), np.unique(np.array([r[1] for r in ranked], np.int64))
+    ranks = np.full((len(languages), len(codes) + 1), PROFILE, np.int32)
+    if ranked:
+        place = {name: k for k, name in enumerate(languages)}
+        ranks[[place[r[0]] for r in ranked], np.searchsorted(codes, [r[1] for r in ranked])] = [r[2] for r in ranked]
+    return Profiles(languages, codes, ranks)
+
+
 def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAINING_DOCS) -> Profiles:
-    """Profiles of the languages in ``lang_col``, from at most ``max_docs`` of the rows that ``usable`` (a condition) lets in.
+    """Profiles of the languages in ``lang_col``, from at most ``max_docs`` rows of each that ``usable`` (a condition) lets in.
 
-    The driver gets the letters and PROFILE codes of each language, not texts. Rows without
-    text or language teach nothing; with no rows at all every prediction is ``und``.
+    A rare language has all its rows in the sample; rows equal in id and text count once. The
+    driver gets PROFILE codes of each language, not texts. Rows without text or language
+    teach nothing; with no rows at all every prediction is ``und``.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), usable.alias("usable"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"), usable.alias("usable"))
     rows = rows.filter("usable and lang is not null and text is not null")
-    first = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
-    # ids are nearly unique, so the bound on the hash keeps the sample at max_docs and repeated rows of its last id
-    sample = rows.filter(F.xxhash64("id") <= F.lit(first if first is not None else 0)).select("text", "lang")
-
-    def letter_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch["text"]:
-                p, n = np.unique(code_points(text), return_counts=True)
-                yield pd.DataFrame({"point": p[p > 0].astype(np.int64), "n": n[p > 0]})
-
-    letters = sample.mapInPandas(letter_counts, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(LETTERS)
-    places = alphabet([r["point"] for r in letters.collect()])
-    shared = docs.sparkSession.sparkContext.broadcast(places)
+    # a share of each language a little over what is wanted, of which the first by hash stay
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
+    some = rows.join(F.broadcast(sizes), "lang").filter(F.pmod("h", F.lit(1 << 30)) * F.col("rows") < F.lit(1.3 * max_docs * (1 << 30)))
+    once = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    sample = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).filter(F.col("place") <= max_docs)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                total[lang] = total.get(lang, 0) + gram_counts(text, shared.value)
-        for lang, n in total.items():
-            codes = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "code": codes, "n": n[codes]})
+            for lang, own in batch.groupby("lang"):
+                found = [gram_counts(t) for t in own["text"]]
+                codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                yield pd.DataFrame({"lang": lang, "code": codes, "n": np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)})
 
-    grams = sample.mapInPandas(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    grams = sample.repartition("lang", "h").select("lang", "text").mapInPandas(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    rows = grams.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < PROFILE).collect()
-    languages = sorted({r["lang"] for r in rows})
-    ranks = np.full((len(languages), N_CODES), PROFILE, np.int32)
-    for r in rows:
-        ranks[languages.index(r["lang"]), r["code"]] = r["rank"]
-    return Profiles(languages, places, ranks)
+    ranked = grams.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < PROFILE).collect()
+    return profiles_of([(r["lang"], r["code"], r["rank"]) for r in ranked])
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

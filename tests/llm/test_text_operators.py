@@ -228,14 +228,57 @@ def test_language_id(spark, odd, empty):
     assert language_id.identify(empty, profiles).collect() == []
 
 
+def plain_profile(texts, size=300):
+    """Ranks of one- to three-letter n-grams of lower-case words, by strings and counters."""
+    from collections import Counter
+
+    counts = Counter()
+    for text in texts:
+        t = "".join(c if c.isalpha() else "_" for c in f"_{text.lower()}_")
+        while "__" in t:
+            t = t.replace("__", "_")
+        counts.update(c for c in t if c != "_")
+        counts.update(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1))
+    key = lambda g: sum((ord(c) if c != "_" else 0x110000) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], key(x[0])))][:size]
+
+
+def test_language_id_of_many_scripts(spark):
+    """Predictions and scores equal those of plain out-of-place distances; scripts and a rare language are told apart."""
+    words = {"ru": "это быстрая лиса прыгает через ленивую собаку", "el": "αυτή η αλεπού πηδάει πάνω από τον σκύλο", "ja": "これはとても速い狐です犬を飛び越える", "hi": "यह तेज़ लोमड़ी कुत्ते के ऊपर कूदती है", "en": "this quick fox jumps over the lazy dog"}
+    rng, rows = random.Random(1), []
+    for lang, text in words.items():
+        parts = text.split() if lang != "ja" else list(text)
+        for _ in range(3 if lang == "hi" else 60):
+            rows.append((len(rows), " ".join(rng.choices(parts, k=12)), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    profiles = language_id.train(df, df["doc_id"] >= 0)
+    assert profiles.languages == sorted(words)
+    want = {lang: plain_profile([t for _, t, k in rows if k == lang]) for lang in words}
+    got = {r["doc_id"]: r for r in language_id.identify(df, profiles).collect()}
+    for i, text, lang in rows:
+        own = plain_profile([text])
+        distance = {k: sum(abs(p.index(g) - r) if g in p else 300 for r, g in enumerate(own)) for k, p in want.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert got[i]["lang_pred"] == best == lang and abs(got[i]["score"] - (1 - distance[best] / (300 * len(own)))) < 1e-9
+
+
+def test_language_id_sample(spark):
+    """Repeated rows teach once, a frequent language is cut to the bound, a rare one is whole; ties and nulls do not matter."""
+    rows = [(1, "same words again", "xx")] * 50 + [(i, f"word {'ab'[i % 2] * 3}", "yy") for i in range(500)] + [(None, "rare thing", "zz"), (None, None, "zz"), (7, "no language", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS h", "'q' AS rows").repartition(3)
+    once = language_id.train(df.dropDuplicates(["doc_id", "text", "lang"]), df["text"].isNull() | df["text"].isNotNull(), max_docs=40)
+    again = language_id.train(df, df["text"].isNull() | df["text"].isNotNull(), max_docs=40)
+    assert again.languages == once.languages == ["xx", "yy", "zz"] and (again.ranks[[0, 2]] == once.ranks[[0, 2]]).all()
+
+
 def test_out_of_place_distance():
-    places = language_id.alphabet([ord(c) for c in "abcde"])
-    counts = language_id.gram_counts("Abc, abd!", places)
-    order = language_id.ranking(counts, 5)
-    assert len(order) == 5 and (np.diff(counts[order]) <= 0).all()
-    ranks = np.full((2, language_id.N_CODES), language_id.PROFILE)
-    ranks[0, language_id.ranking(counts)] = np.arange(len(language_id.ranking(counts)))
-    assert language_id.Profiles(["x", "y"], places, ranks).predict("abc abd") == ("x", 1.0)
+    codes, n = language_id.gram_counts("Abc, abd!")
+    order = language_id.ranking(codes, n, 5)
+    counts = dict(zip(codes.tolist(), n.tolist(), strict=True))
+    assert len(order) == 5 and [counts[c] for c in order.tolist()] == sorted(n.tolist(), reverse=True)[:5]
+    profiles = language_id.profiles_of([("x", c, k) for k, c in enumerate(language_id.ranking(codes, n).tolist())] + [("y", 1, 0)])
+    assert profiles.predict("abc abd") == ("x", 1.0) and profiles.predict("1, 2") == ("und", 0.0)
 
 
 def test_quality_rules(spark, odd, empty):
