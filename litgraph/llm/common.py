@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -18,15 +19,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder that the whole cluster shares and reads it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which the whole cluster shares; only in local mode, as in tests, a temporary one where it is unset."""
+    context = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir():
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests, a temporary one is set.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the checkpoint folder that the whole cluster shares and reads it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

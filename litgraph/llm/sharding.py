@@ -17,10 +17,10 @@ from pyspark.sql.window import Window
 
 from .common import durable
 
-#: Parts of a shard that are ranked apart, so that a slot needs no task with a whole shard.
-PARTS = 64
-#: Source partitions are cut so that one permutes about this many rows.
+#: Source partitions are cut so that one permutes about this many rows, and shards into parts of as many.
 SOURCE_ROWS = 1 << 18
+#: Tables of at most this many rows, one for each source or part, are broadcast; larger ones are joined by shuffling them.
+BROADCAST_ROWS = 20_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -86,20 +86,22 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int, seed: int, order: list[s
         kept = durable(kept.withColumn("_source", F.col("_source") * pieces + cut))
         counts = counted(kept)
     sources = sorted(counts)
+    # parts of a shard are ranked apart, so that a slot needs no task with a whole shard
+    parts = max(1, -(-sum(counts.values()) // (n_shards * SOURCE_ROWS)))
+    spread = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
     ends = []
     for row in communication_matrix([counts[s] for s in sources], n_shards, seed):
         ends.append([sum(row[: j + 1]) for j in range(n_shards)])
     spark = rows.sparkSession
     matrix = spark.createDataFrame(list(zip(sources, ends, strict=True)), "_source int, _ends array<long>")
     local = kept.withColumn("_place", F.row_number().over(Window.partitionBy("_source").orderBy(random_of(0), *order)))
-    # one small row per source partition; the number of source partitions bounds it
-    sent = local.join(F.broadcast(matrix), "_source").withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_place"))).cast("int"))
-    sent = sent.withColumn("_part", F.pmod(F.xxhash64(*order, "_source", "_place", F.lit(seed + 1)), F.lit(PARTS)).cast("int")).drop("_ends")
+    sent = local.join(spread(matrix, len(sources)), "_source").withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_place"))).cast("int"))
+    sent = sent.withColumn("_part", F.pmod(F.xxhash64(*order, "_source", "_place", F.lit(seed + 1)), F.lit(parts)).cast("int")).drop("_ends")
     sizes = sent.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    # n_shards x PARTS rows
+    # n_shards x parts rows
     starts = sizes.withColumn("_start", F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")).drop("_n")
     ranked = sent.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_part").orderBy(random_of(2), *order, "_source", "_place")))
-    out = ranked.join(F.broadcast(starts), ["shard", "_part"]).withColumn("slot", F.col("_start") + F.col("_rank") - 1)
+    out = ranked.join(spread(starts, n_shards * parts), ["shard", "_part"]).withColumn("slot", F.col("_start") + F.col("_rank") - 1)
     return out.drop("_source", "_place", "_part", "_rank", "_start")
 
 

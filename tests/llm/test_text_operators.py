@@ -199,9 +199,24 @@ def test_sharding(docs, odd, empty, spark):
 
 
 def test_sharding_in_pieces(docs, monkeypatch):
-    monkeypatch.setattr(sharding, "SOURCE_ROWS", 30)
-    rows = sharding.shard_documents(docs).collect()
-    assert len(rows) == docs.count() and len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
+    monkeypatch.setattr(sharding, "SOURCE_ROWS", 9)
+    for most in (sharding.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(sharding, "BROADCAST_ROWS", most)
+        rows = sharding.shard_documents(docs).collect()
+        by = [sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(8)]
+        assert len(rows) == docs.count() and all(b == list(range(len(b))) for b in by) and max(map(len, by)) - min(map(len, by)) <= 1
+
+
+def test_sharding_is_uniform(spark):
+    """Over many seeds every row is as often in each shard and in each half of its slots, wherever it stood."""
+    rows = spark.range(32, numPartitions=3).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    seen = np.zeros((32, 4))
+    halves = np.zeros(32)
+    for seed in range(25):
+        for r in sharding.shard_documents(rows, n_shards=4, seed=1000 * seed).collect():
+            seen[r["doc_id"], r["shard"]] += 1
+            halves[r["doc_id"]] += r["slot"] < 4
+    assert (((seen - 6.25) ** 2 / 6.25).sum(1) < 22).all() and ((seen - 6.25) ** 2 / 6.25).sum() < 150 and (np.abs(halves - 12.5) < 11).all()
 
 
 def test_communication_matrix_is_uniform():
