@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litgraph.llm import bpe, decontaminate, jaccard_join, language_id, quality_rules
-from litgraph.llm.common import id_remainder, read
+from litgraph.llm.common import id_remainder, read, shared_folder
 from litgraph.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,24 +17,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the folder of checkpoints and read again."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-pipeline-")
-    path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
+    path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without text or letters (``und``)."""
+    """Rejects documents without text or letters (``und``): nulls, empty texts and texts of other characters.
+
+    Repeated rows and rows with null ids are judged by their texts like any others; an empty
+    table gives an empty one; other columns are not kept.
+    """
     profiles = language_id.train(docs, id_remainder(F.col("doc_id"), 3) != 1)
     found = language_id.identify(docs, profiles, keep=tuple(COLUMNS[1:]))
     return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose score is under the threshold."""
+    """Rejects documents whose score is under the threshold; null and empty texts have a score like any other.
+
+    Equal texts get equal decisions whatever their ids. Labels without id, text or quality
+    teach nothing; without any labels the score is the same for all. An empty table gives an
+    empty one; other columns are not kept.
+    """
     ensemble = quality_rules.train(docs, read(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), 5) != 0)
     return quality_rules.score_quality(docs, ensemble, keep=tuple(COLUMNS[1:])).filter("predicted = 1").select(*COLUMNS)
 
@@ -55,12 +61,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a passage of the benchmark."""
+    """Rejects documents that hold a passage of the benchmark; null and empty texts hold none.
+
+    Repeated rows and null ids are judged like any others; an empty benchmark rejects
+    nothing; an empty table gives an empty one; other columns are not kept.
+    """
     leaks = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS[1:]))
     return leaks.filter(F.size("spans") == 0).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document: (doc_id, n_tokens, ids_sha256, decoded_sha256); null texts count as empty.
+
+    Repeated rows give repeated results, null ids stay null, an empty table gives none.
+    """
     return bpe.digests(bpe.encode_decode(docs, vocabulary("byte_bpe_50k.json")))
 
 
