@@ -193,6 +193,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 [batch.column("id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([c.decode(i) for i in ids], pa.string())],
                 ["id", "ids_le", "n_tokens", "decoded"],
             )
+        c.memo.clear()  # the worker goes on to other work
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, ids_le binary, n_tokens long, decoded string").withColumnRenamed("id", id_col)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_bytes
+from .common import BYTE, blocks, text_bytes, word_hashes
 
 WINDOW = 10
 #: Bytes of text in an indexed shard.
@@ -29,10 +29,7 @@ SAMPLE = 8
 
 #: Lower case for A-Z; 0 for what parts words.
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.uint8)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: A random value for each byte, for hashes of words.
-BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
+GAP, VALUE = LOWER == 0, BYTE[LOWER]
 
 
 class Words:
@@ -40,32 +37,14 @@ class Words:
 
     def __init__(self, data: np.ndarray, at: np.ndarray, length: np.ndarray):
         low = int(at.min()) if len(at) else 0
-        whole = LOWER[data[low : int((at + length).max()) if len(at) else 0]]
-        starts_at = np.unique(at[length > 0] - low)
-        inside = whole != 0
-        gap_before = np.ones(len(whole), bool)
-        gap_before[1:] = ~inside[:-1]
-        gap_before[starts_at] = True
-        gap_after = np.ones(len(whole), bool)
-        gap_after[:-1] = gap_before[1:] | ~inside[1:]
-        self.whole, self.low = whole, low
-        self.start = np.flatnonzero(inside & gap_before)
-        self.end = np.flatnonzero(inside & gap_after) + 1
-        power = np.full(len(whole) + 1, BASE)
-        power[:1] = 1
-        np.multiply.accumulate(power, out=power)
-        sums = np.zeros(len(whole) + 1, np.uint64)
-        np.cumsum(BYTE[whole] * power[:-1], out=sums[1:])
-        back = np.full(len(whole) + 1, INVERSE)
-        back[:1] = 1
-        np.multiply.accumulate(back, out=back)
-        self.hash = (sums[self.end] - sums[self.start]) * back[self.start]
+        self.raw = data[low : int((at + length).max()) if len(at) else 0]
+        self.start, self.end, self.hash = word_hashes(self.raw, np.unique(at[length > 0] - low), GAP, VALUE)
         #: first word of each text, and how many it has
         self.first = np.searchsorted(self.start, at - low)
         self.count = np.where(length > 0, np.searchsorted(self.start, at - low + length) - self.first, 0)
 
     def text(self, i: int) -> bytes:
-        return self.whole[self.start[i] : self.end[i]].tobytes()
+        return LOWER[self.raw[self.start[i] : self.end[i]]].tobytes()
 
 
 class Phrases:

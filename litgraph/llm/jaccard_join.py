@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, components, durable, text_bytes
-from .decontaminate import BASE, BYTE, INVERSE
+from .common import BYTE, blocks, components, durable, key_map, text_bytes, word_hashes
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -44,10 +43,8 @@ SKETCH = 64
 LARGE = 24
 #: Members of a large group that meet in one task.
 MEET = 1024
-#: Bits of the filter by which the texts to compare are picked, for each of them, and the most bits it has.
-FILTER_BITS, MOST_BITS = 16, 1 << 27
-#: Bytes of text that are hashed at a time.
-TEXT_BYTES, HASH_BYTES = 1 << 20, 1 << 17
+#: Bytes of text whose sets are found at a time.
+TEXT_BYTES = 1 << 20
 
 SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 #: A random value for each byte, A-Z like a-z.
@@ -106,48 +103,6 @@ def bands_of(size: int, similar: int = SIMILAR) -> tuple[Band, ...]:
     return (own, above) if 100 * size >= similar * above.low else (own,)
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of BASE and of its inverse, ``n`` of them at least."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, INVERSE)):
-            _powers[k] = np.full(n, base)
-            _powers[k][0] = 1
-            np.multiply.accumulate(_powers[k], out=_powers[k])
-    return _powers
-
-
-def word_hashes(raw: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word; no word goes over a border. Bytes are hashed in pieces cut at white space."""
-    starts, hashes, low, n = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0, len(raw)
-    gap = SPACE[raw]
-    while low < n:
-        high = min(low + HASH_BYTES, n)
-        if high < n:
-            back = int(np.argmax(gap[low:high][::-1]))
-            if gap[high - 1 - back]:
-                high -= back
-            else:  # a word longer than a piece
-                ahead = int(np.argmax(gap[high:]))
-                high = high + ahead if gap[high + ahead] else n
-        own, parted = ~gap[low:high], borders[np.searchsorted(borders, low) : np.searchsorted(borders, high)] - low
-        first = own.copy()
-        first[1:] &= ~own[:-1]
-        first[parted] = own[parted]
-        last = own.copy()
-        last[:-1] &= ~own[1:] | first[1:]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        power, back = powers(high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(LETTER[raw[low:high]] * power[: high - low], out=sums[1:])
-        starts.append(start + low)
-        hashes.append(mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)))
-        low = high
-    return np.concatenate(starts), np.concatenate(hashes)
-
-
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(elements, sizes): the distinct shingles of each text as sorted 64-bit hashes, text after text, and how many each has."""
     if texts.null_count:
@@ -155,7 +110,8 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     data, at, length = text_bytes(texts)
     low = int(at[0]) if len(at) else 0
     at = at - low
-    start, word = word_hashes(data[low : low + int(length.sum())], np.unique(at))
+    start, end, word = word_hashes(data[low : low + int(length.sum())], np.unique(at), SPACE, LETTER)
+    word = mix(word + (end - start).astype(np.uint64))
     from_ = np.searchsorted(start, at)
     count = np.searchsorted(start, at + length) - from_
     hashed = np.zeros(len(word), np.uint64)
@@ -293,23 +249,11 @@ def document_signatures(rows: DataFrame, similar: int) -> DataFrame:
 
 
 def wanted_sets(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, elements) of the sets of the texts whose hash ``t`` is in ``texts``, and of a few more.
-
-    A bit map of the hashes, of FILTER_BITS bits for each and MOST_BITS at most, is built by
-    Spark and broadcast; a full map only lets more texts through.
-    """
-    bits = max(1 << 15, min(MOST_BITS, FILTER_BITS * texts.count()))
-    at = F.pmod("t", F.lit(bits)) + 1  # positions are counted from 1
-    packed = texts.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    have = np.zeros(bits + (1 << 15), bool)
-    for r in packed:
-        own = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little"))
-        have[own + (r["bucket"] - 1) * (1 << 15)] = True
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(have))
+    """(h, elements) of the sets of the texts whose hash ``t`` is in ``texts``, and of a few more."""
+    wanted = key_map(texts, "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.unpackbits(shared.value).astype(bool)
-        for batch in texts_once(batches, lambda keys: have[keys % bits]):
+        for batch in texts_once(batches, wanted.has):
             elements, sizes = shingle_sets(batch.column("text"))
             some = sizes > 0
             one, two = digests(elements, sizes)

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,14 +107,16 @@ def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text
     once = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
     sample = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).filter(F.col("place") <= max_docs)
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, own in batch.groupby("lang"):
-                found = [gram_counts(t) for t in own["text"]]
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            for lang in sorted({*langs.tolist()}):
+                found = [gram_counts(t) for t in batch.column("text").filter(pa.array(langs == lang)).to_pylist()]
                 codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                yield pd.DataFrame({"lang": lang, "code": codes, "n": np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)})
+                n = np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
-    grams = sample.repartition("lang", "h").select("lang", "text").mapInPandas(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    grams = sample.repartition("lang", "h").select("lang", "text").mapInArrow(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     ranked = grams.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < PROFILE).collect()
     return profiles_of([(r["lang"], r["code"], r["rank"]) for r in ranked])
@@ -128,15 +129,13 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     repeated results, an empty table none; other columns are not read. No shuffle; the
     profiles that are broadcast have a fixed size for each language.
     """
-    carried = {f"_{i}": c for i, c in enumerate((id_col, *keep))}
-    schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in carried.items())
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
-            columns = [*(batch.column(k) for k in carried), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*carried, "lang_pred", "score"])
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            found = [shared.value.predict(t) for part in blocks([pa.RecordBatch.from_arrays([array], ["text"])], "text") for t in part.column("text").to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
 
-    rows = docs.select(*(F.col(c).alias(k) for k, c in carried.items()), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double").select(*(F.col(k).alias(c) for k, c in carried.items()), "lang_pred", "score")
+    found = F.arrow_udf(predict, "struct<lang_pred:string,score:double>")(F.col(text_col).cast("string"))
+    rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate((id_col, *keep))), found.alias("_found"))
+    return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate((id_col, *keep))), F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))

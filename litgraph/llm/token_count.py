@@ -88,6 +88,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 [batch.column("id"), pa.array(text_bytes(texts)[2], pa.int64()), pa.array(c.block(texts.to_pylist()), pa.int64())],
                 ["id", "n_bytes", "n_tokens"],
             )
+        c.memo.clear()  # the worker goes on to other work
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

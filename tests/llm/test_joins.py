@@ -77,7 +77,7 @@ def test_words_in_pieces(monkeypatch):
     assert whole[1].tolist() == [int(n[0]) for _, n in one] == [len(brute.shingles(t)) for t in texts]
     assert whole[0].tolist() == np.concatenate([e for e, _ in one]).tolist()
     for size in (1, 2, 3, 7, 16):
-        monkeypatch.setattr(jaccard_join, "HASH_BYTES", size)
+        monkeypatch.setattr(common, "HASH_BYTES", size)
         again = jaccard_join.shingle_sets(pa.array(texts))
         assert again[0].tolist() == whole[0].tolist() and again[1].tolist() == whole[1].tolist()
 
