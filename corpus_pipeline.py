@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litgraph.llm import bpe, decontaminate, jaccard_join, language_id, quality_rules
-from litgraph.llm.common import id_remainder, read, shared_folder
+from litgraph.llm.common import id_remainder, key_map, read, shared_folder
 from litgraph.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,17 +47,23 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates, of those with the smallest id the one with the least digests, and all rows without words.
 
-    Rows are linked by keys of their own, not by their ids: ids may be null or repeat. Only
-    the keys of the rows that go are joined to the documents.
+    Rows are linked by id and text digests, as ids may be null or repeat; of rows equal in
+    both one stays. Only rows that may have to go, by a bit map of their keys, are joined to
+    the links; the other texts are not shuffled.
     """
-    # written first, so that a row keeps its key
-    keyed = stored(spark, docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
-    linked = jaccard_join.link(keyed, id_col="row").filter("n_shingles > 0").select("row", "component_id")
-    narrow = keyed.select("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("digest"), F.xxhash64(F.lit(1), "text").alias("digest2"), "row").alias("place"))
-    groups = linked.join(narrow, "row")
-    first = groups.groupBy("component_id").agg(F.min("place").alias("place"), F.count("*").alias("n")).filter("n > 1").select("component_id", F.col("place.row").alias("kept"))
-    gone = groups.select("row", "component_id").join(first, "component_id").filter("row <> kept").select("row")
-    return keyed.join(gone, "row", "left_anti").select(*COLUMNS)
+    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", none).alias("id"), F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
+    # a component is named by its least key
+    linked = jaccard_join.link(docs.select(key.alias("key"), "text"), id_col="key").filter("n_shingles > 0")
+    known = linked.groupBy("key").agg(F.min("component_id").alias("kept"), F.count("*").alias("n")).filter("key <> kept or n > 1")
+    known = stored(spark, known.select(F.xxhash64("key").alias("hash"), "key", (F.col("key") != F.col("kept")).alias("gone")), "known")
+    at_stake = key_map(known, "hash")
+    rows = docs.select(*COLUMNS).withColumn("key", key)
+    rows = rows.withColumn("maybe", at_stake.column(F.xxhash64("key")))
+    judged = rows.filter("maybe").join(known.select("key", "gone"), "key", "left").filter("gone is null or not gone")
+    one = F.when(F.col("gone").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    judged = judged.withColumn("one", one).dropDuplicates(["key", "one"])
+    return rows.filter("not maybe").select(*COLUMNS).union(judged.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
