@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into Python or numpy objects at a time.
 BLOCK_BYTES = 4 << 20
+#: Setting by which the shuffle files of an execution are removed at its end; it holds for DataFrames made while it is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Edges of a graph that are worth a task of their own.
+PART_EDGES = 200_000
 #: Bits of a map of keys, for each of them, and the most bits it has.
 MAP_BITS, MOST_BITS = 16, 1 << 27
 #: Bytes of text whose words are hashed at a time.
@@ -42,9 +46,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder that the whole cluster shares and reads it from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Writes ``df`` to the checkpoint folder that the whole cluster shares and reads it from there.
+
+    Its shuffle files go as soon as it is written, not when the driver happens to collect garbage.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def id_remainder(doc_id: Column, n: int) -> Column:
@@ -164,17 +177,17 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     a map-side combined minimum and in a join that adaptive execution can split. Self
     loops are ignored; ids that have no edge are not in the result.
     """
-    spark = edges.sparkSession
     edges = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    before, parts = None, 1 + edges.count() // PART_EDGES
+    few = lambda df: df.coalesce(parts)  # noqa: E731  # no more tasks than a small graph is worth
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.filter("u > m").select("u", F.col("m").alias("v"))).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = durable(small.union(down.select("u", F.col("m").alias("v"))).distinct())
+        least = few(few(both).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = few(both.join(least, "u")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = few(few(large.union(least.filter("u > m").select("u", F.col("m").alias("v")))).distinct())
+        down = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(down, "u")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = durable(few(few(small.union(down.select("u", F.col("m").alias("v")))).distinct()))
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == before:
             break
