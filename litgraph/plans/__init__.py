@@ -1,5 +1,5 @@
 """The given tables as graph tables, and the registered queries over them."""
 
-from . import corpus_queries, overview_queries, registry
+from . import analytics_queries, corpus_queries, overview_queries, registry
 
-__all__ = ["corpus_queries", "overview_queries", "registry"]
+__all__ = ["analytics_queries", "corpus_queries", "overview_queries", "registry"]
