@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,12 +35,26 @@ def cooccurrence_jaccard(mentions: DataFrame, member: str, least: int) -> DataFr
     return rows.select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
 
 
-def latency_summary(usage: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, mean, p95 (the value at sorted place floor(0.95 n)) and greatest latency by key."""
-    w = Window.partitionBy(*keys)
-    ranked = usage.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("response_time_ms", "id")))
-    p95 = F.max(F.when(F.col("_r") == F.floor(F.col("_n") * F.lit("0.95").cast("decimal(3,2)")) + 1, F.col("response_time_ms")))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("response_time_ms"), 6).alias("mean_ms"), F.round(p95, 6).alias("p95_ms"), F.round(F.max("response_time_ms"), 6).alias("max_ms"))
+def latency_summary(usage: DataFrame, keys: list[str], cells: int = 1024) -> DataFrame:
+    """Count, mean, p95 (the value at sorted place floor(0.95 n)) and greatest latency by key; rows without latency are left out.
+
+    Latencies are counted in ``cells`` equal steps from the least to the greatest of a key;
+    only those of the step that holds the place are ranked, so no task sorts a whole key.
+    """
+    v = F.col("response_time_ms")
+    rows = usage.select(*keys, v, "id").filter(v.isNotNull())
+    same = lambda a, b, more="": reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] + ([F.col(f"{a}.{more}") == F.col(f"{b}.{more}")] if more else []), F.lit(True))
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+    cell = F.when(F.col("s.most") == F.col("s.least"), 0).otherwise(F.least(F.lit(cells - 1), F.floor((v - F.col("s.least")) / (F.col("s.most") - F.col("s.least")) * cells))).cast("int")
+    placed = rows.alias("r").join(stats.alias("s"), same("r", "s")).select(*(F.col(f"r.{k}").alias(k) for k in keys), v, "id", F.col("s.n").alias("n"), cell.alias("cell"))
+    counts = placed.groupBy(*keys, "cell").agg(F.count("*").alias("held"), F.first("n").alias("n"))
+    upto = F.sum("held").over(Window.partitionBy(*keys).orderBy("cell"))  # at most as many rows as cells
+    place = F.floor(F.col("n") * F.lit("0.95").cast("decimal(3,2)")) + 1
+    at = counts.withColumn("before", upto - F.col("held")).withColumn("place", place - F.col("before")).filter((F.col("place") >= 1) & (F.col("place") <= F.col("held")))
+    near = placed.alias("p").join(at.alias("a"), same("p", "a", "cell")).select(*(F.col(f"p.{k}").alias(k) for k in keys), v, "id", F.col("a.place").alias("place"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(v, "id"))).filter("rank = place")
+    out = stats.alias("s").join(ranked.alias("k"), same("s", "k"), "left")
+    return out.select(*(F.col(f"s.{k}").alias(k) for k in keys), F.col("s.n").alias("n"), F.round("s.mean", 6).alias("mean_ms"), F.round("k.response_time_ms", 6).alias("p95_ms"), F.round("s.most", 6).alias("max_ms"))
 
 
 def usage_daily(usage: DataFrame, since: str) -> DataFrame:

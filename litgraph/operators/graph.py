@@ -2,21 +2,75 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .relational import incident_edges
 
 
+#: Setting by which the shuffle files of an execution are removed at its end; it holds for DataFrames made while it is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Edges of a graph that are worth a task of their own.
+PART_EDGES = 200_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which the whole cluster shares; only in local mode, as in tests, a temporary one where it is unset."""
+    context = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir():
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the session's checkpoint folder; sets a temporary one only where none is set."""
+    """Writes ``df`` to the checkpoint folder that the whole cluster shares and reads it from there.
+
+    Its shuffle files go as soon as it is written, not when the driver happens to collect garbage.
+    """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """Connected components of undirected ``edges`` (u, v) as (id, component = smallest id reachable).
+
+    Alternates large-star and small-star steps, each one aggregation and one join, until
+    the edges stop changing. Neighbour lists are never gathered: a hub only takes part in
+    a map-side combined minimum and in a join that adaptive execution can split. Self
+    loops are ignored; ids that have no edge are not in the result.
+    """
+    edges = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before, parts = None, 1 + edges.count() // PART_EDGES
+    few = lambda df: df.coalesce(parts)  # noqa: E731  # no more tasks than a small graph is worth
+    for _ in range(max_rounds):
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = few(few(both).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = few(both.join(least, "u")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = few(few(large.union(least.filter("u > m").select("u", F.col("m").alias("v")))).distinct())
+        down = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(down, "u")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = durable(few(few(small.union(down.select("u", F.col("m").alias("v")))).distinct()))
+        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    roots = edges.select(F.col("v").alias("id")).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
 
 def multi_hop(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
@@ -43,7 +97,8 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     """Undirected PageRank of a fixed number of rounds, scaled by its greatest value; nodes without edges are not in it."""
     links = incident_edges(edges).select("id", "other")
     out = links.groupBy("id").agg(F.count("*").alias("out"))
-    links = durable(links.join(out, "id"))
+    # dealt by node once: in each round only the contributions move
+    links = durable(links.join(out, "id").repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"))
     n = out.count()
     ranks = out.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(rounds):
@@ -55,20 +110,11 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     return ranks.crossJoin(F.broadcast(greatest)).select("id", (F.col("rank") / F.col("m")).alias("pagerank"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest id reachable along edges. Minimum labels and pointer jumping until nothing changes."""
-    steps = durable(incident_edges(edges).select("id", "other").distinct())
-    labels = durable(steps.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("c")))
-    for _ in range(max_rounds):
-        near = steps.join(labels.select(F.col("id").alias("other"), "c"), "other").groupBy("id").agg(F.min("c").alias("n"))
-        new = labels.join(near, "id").select("id", F.least("c", "n").alias("c"))
-        jump = new.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        new = durable(new.join(jump, "c").select("id", F.least("c", "cc").alias("c")))
-        changed = new.join(labels.withColumnRenamed("c", "old"), "id").filter("c <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels.withColumnRenamed("c", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(id, component): the smallest id reachable along edges; an id with nothing but self loops is its own component."""
+    found = components(edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")), max_rounds)
+    alone = edges.filter("source_id = target_id").select(F.col("source_id").alias("id")).distinct().join(found, "id", "left_anti")
+    return found.union(alone.select("id", F.col("id").alias("component")))
 
 
 def neighbour_gap(edges: DataFrame) -> DataFrame:

@@ -109,9 +109,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], keep_old:
     return joined.select(*keys, *(F.coalesce(f"{first}{c}", f"{second}{c}").alias(c) for c in values))
 
 
-def upsert_increment(existing: DataFrame, incoming: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
-    """A known edge's weight grows by 1 for each incoming row; of a new edge's rows, the first gives its weight."""
-    rows = incoming.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(weight).alias("_w"))
+def upsert_increment(existing: DataFrame, incoming: DataFrame, keys: list[str], weight: str = "weight", order: Column | None = None) -> DataFrame:
+    """A known edge's weight grows by 1 for each incoming row; of a new edge's rows, the first in ``order`` gives its weight.
+
+    Without ``order`` the least weight is taken for the first.
+    """
+    first = F.min_by(weight, F.struct(order, weight)) if order is not None else F.min(weight)
+    rows = incoming.groupBy(*keys).agg(F.count("*").alias("_n"), first.alias("_w"))
     old = existing.select(*keys, F.col(weight).alias("_old"))
     merged = F.when(F.col("_old").isNull(), F.col("_w") + F.col("_n") - 1).otherwise(F.col("_old") + F.coalesce("_n", F.lit(0)))
     return old.join(rows, keys, "full_outer").select(*keys, merged.alias(weight))

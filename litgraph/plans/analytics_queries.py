@@ -286,3 +286,8 @@ def c4_evidence_for_relationship(g):
 def c17_concept_hierarchy(g):
     rows = g.table("nation").join(g.table("region"), F.col("r_regionkey") == F.col("n_regionkey"))
     return rows.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"), F.lit("PART_OF").alias("relationship_type"))
+
+
+@query("SELECT count(*) AS n, round(avg(value), 6) AS mean_ms, round(max(value), 6) AS max_ms, (SELECT round(value, 6) FROM events ORDER BY value, event_id LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM events)) AS p95_ms FROM events", views=False)
+def d27_latency_overall(g):
+    return A.latency_summary(g.usage, [])
