@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -125,3 +127,87 @@ def fallback_label(keywords: Column) -> Column:
     placed = F.transform(keywords, lambda w, i: F.struct(F.length(w).alias("size"), i.alias("i"), w.alias("w")))
     short = F.slice(F.array_sort(F.filter(placed, lambda s: s["size"] < 40)), 1, 2)
     return F.array_join(F.transform(short, lambda s: s["w"]), " & ")
+
+
+def cluster_embeddings(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """K-means of (id, embedding): (id, cluster). Null vectors and those of another length than the commonest are left out; fewer than three give no rows."""
+    sized = vectors.filter("embedding is not null").withColumn("size", F.size("embedding"))
+    common = sized.groupBy("size").count().orderBy(F.desc("count"), "size").first()
+    if common is None or common["count"] < 3:
+        return vectors.select("id", F.lit(0).alias("cluster")).limit(0)
+    rows = sized.filter(F.col("size") == common["size"]).select("id", array_to_vector(F.transform("embedding", lambda e: e.cast("double"))).alias("features"))
+    model = KMeans(k=min(k, common["count"]), seed=seed).fit(rows)
+    return model.transform(rows).select("id", F.col("prediction").alias("cluster"))
+
+
+def optimal_k_elbow(vectors: DataFrame, least: int = 3, most: int = 10, seed: int = 42) -> tuple[int, list[float]]:
+    """The number of clusters after which the cost of k-means falls least (greatest second difference), and the costs: at most eight fits."""
+    rows = vectors.filter("embedding is not null").select(array_to_vector(F.transform("embedding", lambda e: e.cast("double"))).alias("features"))
+    costs = [KMeans(k=k, seed=seed).fit(rows).summary.trainingCost for k in range(least, most + 1)]
+    bends = [costs[i] - 2 * costs[i + 1] + costs[i + 2] for i in range(len(costs) - 2)]
+    return (min(most, bends.index(max(bends)) + least + 1) if bends else least), costs
+
+
+def visualization_nodes(entities: DataFrame, kinds: list[str], last: list[str], limit: int) -> DataFrame:
+    """Entities of the given types, those of ``last`` after all others, ties by id."""
+    return entities.filter(F.col("entity_type").isin(kinds)).orderBy(F.col("entity_type").isin(last), "entity_type", "id").limit(limit)
+
+
+def enrich_papers(papers: DataFrame, works: DataFrame, filled: list[str]) -> DataFrame:
+    """Fills null columns of papers (paper_id, doi, title) from works: by DOI, else by lower-case title; one work for each key, the first by its id."""
+    pick = lambda key: top_by(works.withColumn("_key", key).filter("_key is not null"), ["_key"], [F.col("work_id")], 1)
+    out = papers.withColumn("_doi", F.lower("doi")).withColumn("_title", F.lower("title"))
+    for name, key in (("_doi", F.lower("doi")), ("_title", F.lower("title"))):
+        side = pick(key).select(F.col("_key").alias(name), *(F.col(c).alias(f"{name}{c}") for c in filled))
+        out = out.join(side, name, "left")
+    return out.select(*(c for c in papers.columns if c not in filled), *(F.coalesce(c, f"_doi{c}", f"_title{c}").alias(c) for c in filled))
+
+
+def keyword_entities(docs: DataFrame, patterns: DataFrame, cap: int) -> DataFrame:
+    """(doc_id, entity_type, name, confidence) of patterns (entity_type, name, pattern, confidence, place) found in texts, at most ``cap`` of a type, in order.
+
+    The patterns are a table of rules, far smaller than a partition of texts.
+    """
+    found = docs.select("doc_id", F.lower("text").alias("text")).crossJoin(F.broadcast(patterns)).filter("text rlike pattern").drop("text", "pattern")
+    return top_by(found, ["doc_id", "entity_type"], [F.col("place")], cap).select("doc_id", "entity_type", "name", "confidence")
+
+
+def chunk_context(chunks: DataFrame) -> DataFrame:
+    """Each chunk (id, parent_id, place) with its parent and siblings in order: (id, other, role, place)."""
+    family = chunks.select(F.coalesce("parent_id", "id").alias("family"), F.col("id").alias("other"), F.col("parent_id").isNull().alias("is_parent"), F.col("place").alias("other_place"))
+    rows = chunks.withColumn("family", F.coalesce("parent_id", "id")).join(family, "family")
+    role = F.when(F.col("id") == F.col("other"), "target").when(F.col("is_parent"), "parent").when(F.col("parent_id").isNull(), "child").otherwise("sibling")
+    return rows.select("id", "other", role.alias("role"), F.col("other_place").alias("place"))
+
+
+def cluster_relevance(scored: DataFrame, k: int) -> DataFrame:
+    """Clusters of the ``k`` best entities (id, cluster_id, score): how many, mean score, and how strong the fit is."""
+    best = scored.orderBy(F.desc("score"), "id").limit(k)
+    rows = best.groupBy("cluster_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return rows.withColumn("strength", F.when(F.col("mean_score") >= 0.5, "strong").when(F.col("mean_score") >= 0.2, "moderate").otherwise("weak"))
+
+
+def ground_truth_queries(entities: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """Test queries about the ``k`` entities with the most edges: (query, relevant_id)."""
+    best = incident_edges(edges).join(entities.select("id", "name"), "id").groupBy("id", "name").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "id").limit(k)
+    return best.select(F.concat(F.lit("What is "), "name", F.lit("?")).alias("query"), F.col("id").alias("relevant_id"))
+
+
+def acronym_definition(name: Column) -> Column:
+    """The acronym of ``Long Form (LF)`` in lower case, if it is the initials of the long form's words or the start of a single word; else null."""
+    pattern = r"^\s*(.+?)\s*\(([A-Za-z][A-Za-z0-9-]*)\)\s*$"
+    long, short = F.lower(F.regexp_extract(name, pattern, 1)), F.regexp_replace(F.lower(F.regexp_extract(name, pattern, 2)), "[^a-z0-9]", "")
+    words = F.filter(F.split(long, r"[\s-]+"), lambda w: w != "")
+    initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    return F.when((short != "") & ((initials == short) | ((F.size(words) == 1) & long.startswith(short))), short)
+
+
+def property_diff(a: Column, b: Column) -> tuple[Column, Column]:
+    """Names of the properties of two maps that are equal, and of those that both have but differ in."""
+    both = F.array_sort(F.array_intersect(F.map_keys(a), F.map_keys(b)))
+    return F.filter(both, lambda k: a[k] == b[k]), F.filter(both, lambda k: a[k] != b[k])
+
+
+def checks(conditions: dict[str, Column]) -> Column:
+    """The names of the conditions that hold, as an array."""
+    return F.array_compact(F.array(*(F.when(c, name) for name, c in conditions.items())))

@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import analytics as N
 from ..operators import graph as G
-from ..operators.relational import incident_edges
+from ..operators.relational import incident_edges, upsert
 from .registry import query
 
 
@@ -291,3 +291,97 @@ def c17_concept_hierarchy(g):
 @query("SELECT count(*) AS n, round(avg(value), 6) AS mean_ms, round(max(value), 6) AS max_ms, (SELECT round(value, 6) FROM events ORDER BY value, event_id LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM events)) AS p95_ms FROM events", views=False)
 def d27_latency_overall(g):
     return A.latency_summary(g.usage, [])
+
+
+@query("SELECT id, entity_type FROM entities WHERE entity_type IN ('Concept', 'Method', 'Author') ORDER BY entity_type = 'Author', entity_type, id LIMIT 300")
+def b3_visualization_nodes(g):
+    return N.visualization_nodes(g.entities, ["Concept", "Method", "Author"], ["Paper", "Author"], 300).select("id", "entity_type")
+
+
+@query("SELECT n_name AS name, n_regionkey AS project_id FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = 1)", views=False)
+def b10_restrict_to_accessible(g):
+    s = g.table("supplier").filter("s_suppkey = 1").join(g.table("nation"), F.col("n_nationkey") == F.col("s_nationkey")).select("n_regionkey")
+    return g.table("nation").join(s, "n_regionkey", "left_semi").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("project_id"))
+
+
+@query("WITH w AS (SELECT min(n) AS work_id, lower(doi) AS k, arg_min(year, n) AS year FROM papers WHERE source = 'F' GROUP BY 2), t AS (SELECT lower(title) AS k, arg_min(year, n) AS year FROM papers WHERE source = 'F' GROUP BY 1) SELECT p.paper_id, p.title, coalesce(CASE WHEN p.source <> 'O' THEN p.year END, w.year, t.year) AS year FROM papers p LEFT JOIN w ON w.k = lower(p.doi) LEFT JOIN t ON t.k = lower(p.title)")
+def c16_enrich_papers(g):
+    works = g.papers.filter("source = 'F'").select(F.col("n").alias("work_id"), "doi", "title", "year")
+    papers = g.papers.select("paper_id", "doi", "title", F.when(F.col("source") != "O", F.col("year")).alias("year"))
+    return N.enrich_papers(papers, works, ["year"]).select("paper_id", "title", "year")
+
+
+#: Patterns of entities in texts (fixed values): type, name, pattern, confidence.
+PATTERNS = [("Concept", "the", "\\bthe\\b", 0.7), ("Concept", "and", "\\band\\b", 0.7), ("Concept", "of", "\\bof\\b", 0.7), ("Method", "tion", "tion\\b", 0.6), ("Finding", "numbers", "[0-9]{3}", 0.5)]
+PATTERNS_SQL = ", ".join(f"({i}, '{t}', '{n}', '{p}', {c})" for i, (t, n, p, c) in enumerate(PATTERNS))
+
+
+@query(f"WITH k(place, entity_type, name, pattern, confidence) AS (VALUES {PATTERNS_SQL}) SELECT doc_id, entity_type, name, confidence::DOUBLE AS confidence FROM documents JOIN k ON regexp_matches(lower(text), pattern) QUALIFY row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY place) <= 2", views=False)
+def m4_keyword_entities(g):
+    rules = g.spark.createDataFrame([(i, *p) for i, p in enumerate(PATTERNS)], "place int, entity_type string, name string, pattern string, confidence double")
+    return N.keyword_entities(g.table("documents"), rules, 2)
+
+
+@query("WITH c AS (SELECT conv_id || '-' || turn AS id, CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) THEN conv_id || '-' || min(turn) OVER (PARTITION BY conv_id) END AS parent_id, turn AS place FROM conversations) SELECT a.id, b.id AS other, CASE WHEN a.id = b.id THEN 'target' WHEN b.parent_id IS NULL THEN 'parent' WHEN a.parent_id IS NULL THEN 'child' ELSE 'sibling' END AS role, b.place FROM c a JOIN c b ON coalesce(a.parent_id, a.id) = coalesce(b.parent_id, b.id)", views=False)
+def m5_chunk_context(g):
+    c = g.table("conversations").withColumn("first", F.min("turn").over(Window.partitionBy("conv_id")))
+    name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col(turn).cast("string"))
+    return N.chunk_context(c.select(name("turn").alias("id"), F.when(F.col("turn") > F.col("first"), name("first")).alias("parent_id"), F.col("turn").alias("place")))
+
+
+@query("SELECT l_orderkey AS paper, p_name AS name, l_linenumber AS section FROM lineitem JOIN part ON p_partkey = l_partkey QUALIFY row_number() OVER (PARTITION BY l_orderkey, p_name ORDER BY l_linenumber) = 1", views=False)
+def m7_section_entity_dedupe(g):
+    rows = g.table("lineitem").join(g.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    return rows.groupBy(F.col("l_orderkey").alias("paper"), F.col("p_name").alias("name")).agg(F.min("l_linenumber").alias("section"))
+
+
+@query(f"WITH s AS ({VECTOR_SQL.replace('SELECT c.id,', 'SELECT c.id, c.cluster_id,')} ORDER BY score DESC, c.id LIMIT 20), r AS (SELECT cluster_id, count(*) AS n, round(avg(score), 6) AS mean_score FROM s GROUP BY 1) SELECT *, CASE WHEN mean_score >= 0.5 THEN 'strong' WHEN mean_score >= 0.2 THEN 'moderate' ELSE 'weak' END AS strength FROM r")
+def n5_cluster_relevance(g):
+    return N.cluster_relevance(scored(g, "C1"), 20)
+
+
+@query("WITH e AS (SELECT source_id AS id FROM relationships UNION ALL SELECT target_id FROM relationships WHERE source_id <> target_id), d AS (SELECT n.id, n.name, count(*) AS degree FROM e JOIN entities n USING (id) GROUP BY 1, 2 ORDER BY degree DESC, n.id LIMIT 30) SELECT 'What is ' || name || '?' AS query, id AS relevant_id FROM d")
+def o7_auto_ground_truth(g):
+    return N.ground_truth_queries(g.entities, g.relationships, 30)
+
+
+@query("WITH old AS (SELECT l_partkey AS concept, l_suppkey AS alias, max(l_tax) AS confidence FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2), new AS (SELECT l_partkey AS concept, l_suppkey AS alias, max(l_discount) AS confidence FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT concept, alias, round(coalesce(new.confidence, old.confidence), 6) AS confidence FROM old FULL JOIN new USING (concept, alias)", views=False)
+def a10_upsert_aliases(g):
+    old = g.table("lineitem").filter("l_returnflag <> 'R'").groupBy(F.col("l_partkey").alias("concept"), F.col("l_suppkey").alias("alias")).agg(F.round(F.max("l_tax"), 6).alias("confidence"))
+    new = g.table("lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("concept"), F.col("l_suppkey").alias("alias")).agg(F.round(F.max("l_discount"), 6).alias("confidence"))
+    return upsert(old, new, ["concept", "alias"])
+
+
+@query("WITH n AS (SELECT p_partkey, p_name, CASE WHEN p_size < 20 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1])), '') ELSE upper(p_brand[1:2]) || 'Q' END AS a FROM part) SELECT p_partkey, CASE WHEN lower(a) = array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: w[1]), '') THEN lower(a) END AS acronym FROM n", views=False)
+def s3_acronym_definition(g):
+    initials = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.upper(F.substring(w, 1, 1))), "")
+    short = F.when(F.col("p_size") < 20, initials).otherwise(F.concat(F.upper(F.substring("p_brand", 1, 2)), F.lit("Q")))
+    return g.table("part").select("p_partkey", N.acronym_definition(F.concat("p_name", F.lit(" ("), short, F.lit(")"))).alias("acronym"))
+
+
+@query("SELECT a.p_partkey AS id, b.p_partkey AS other, concat_ws(',', CASE WHEN a.p_brand = b.p_brand THEN 'brand' END, CASE WHEN a.p_size = b.p_size THEN 'size' END, CASE WHEN a.p_type = b.p_type THEN 'type' END) AS same, concat_ws(',', CASE WHEN a.p_brand <> b.p_brand THEN 'brand' END, CASE WHEN a.p_size <> b.p_size THEN 'size' END, CASE WHEN a.p_type <> b.p_type THEN 'type' END) AS differ FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1", views=False)
+def s24_property_diff(g):
+    bag = F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type", F.lit("size"), F.col("p_size").cast("string"))
+    p = g.table("part").select("p_partkey", bag.alias("bag"))
+    rows = p.select(F.col("p_partkey").alias("id"), F.col("bag").alias("a"), (F.col("p_partkey") + 1).alias("other")).join(p.select(F.col("p_partkey").alias("other"), F.col("bag").alias("b")), "other")
+    same, differ = N.property_diff(F.col("a"), F.col("b"))
+    return rows.select("id", "other", F.array_join(same, ",").alias("same"), F.array_join(differ, ",").alias("differ"))
+
+
+@query("WITH f AS (SELECT o_orderpriority AS review, year(o_orderdate)::INT AS year, count(*) AS identified, count(*) FILTER (o_orderstatus <> 'P') AS screened, count(*) FILTER (o_orderstatus = 'F') AS included FROM orders GROUP BY 1, 2) SELECT review, year, concat_ws(',', CASE WHEN screened > identified THEN 'screened' END, CASE WHEN included > screened THEN 'included' END, CASE WHEN 2 * included < screened THEN 'few included' END, CASE WHEN identified > screened THEN 'unscreened' END) AS errors FROM f", views=False)
+def d23_prisma_validate(g):
+    flow = g.table("orders").groupBy(F.col("o_orderpriority").alias("review"), F.year("o_orderdate").alias("year"))
+    flow = flow.agg(F.count("*").alias("identified"), F.count_if(F.col("o_orderstatus") != "P").alias("screened"), F.count_if(F.col("o_orderstatus") == "F").alias("included"))
+    found = N.checks({"screened": F.expr("screened > identified"), "included": F.expr("included > screened"), "few included": F.expr("2 * included < screened"), "unscreened": F.expr("identified > screened")})
+    return flow.select("review", "year", F.array_join(found, ",").alias("errors"))
+
+
+@query()
+def j1_cluster_embeddings(g):
+    return N.cluster_embeddings(g.concepts, 10)
+
+
+@query()
+def j3_optimal_k_elbow(g):
+    k, costs = N.optimal_k_elbow(g.concepts)
+    return g.spark.createDataFrame([(k, i + 3, float(c)) for i, c in enumerate(costs)], "best int, k int, cost double")
