@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,12 +11,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, durable, shared_folder
+
+__all__ = ["blocks", "components", "durable", "id_remainder", "key_map", "read", "shared_folder", "text_bytes", "word_hashes"]
+
 #: Bytes of text that a task turns into Python or numpy objects at a time.
 BLOCK_BYTES = 4 << 20
-#: Setting by which the shuffle files of an execution are removed at its end; it holds for DataFrames made while it is set.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Edges of a graph that are worth a task of their own.
-PART_EDGES = 200_000
 #: Bits of a map of keys, for each of them, and the most bits it has.
 MAP_BITS, MOST_BITS = 16, 1 << 27
 #: Bytes of text whose words are hashed at a time.
@@ -34,32 +32,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which the whole cluster shares; only in local mode, as in tests, a temporary one where it is unset."""
-    context = spark.sparkContext
-    if folder := spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir():
-        return folder
-    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder that the whole cluster shares and reads it from there.
-
-    Its shuffle files go as soon as it is written, not when the driver happens to collect garbage.
-    """
-    spark = df.sparkSession
-    shared_folder(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint()
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -167,32 +139,3 @@ def word_hashes(raw: np.ndarray, borders: np.ndarray, gap_bytes: np.ndarray, val
         hashes.append((sums[end] - sums[start]) * inverse[start])
         low = high
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
-
-
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Connected components of undirected ``edges`` (u, v) as (id, component = smallest id reachable).
-
-    Alternates large-star and small-star steps, each one aggregation and one join, until
-    the edges stop changing. Neighbour lists are never gathered: a hub only takes part in
-    a map-side combined minimum and in a join that adaptive execution can split. Self
-    loops are ignored; ids that have no edge are not in the result.
-    """
-    edges = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before, parts = None, 1 + edges.count() // PART_EDGES
-    few = lambda df: df.coalesce(parts)  # noqa: E731  # no more tasks than a small graph is worth
-    for _ in range(max_rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = few(few(both).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = few(both.join(least, "u")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = few(few(large.union(least.filter("u > m").select("u", F.col("m").alias("v")))).distinct())
-        down = few(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = few(large.join(down, "u")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = durable(few(few(small.union(down.select("u", F.col("m").alias("v")))).distinct()))
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("v").alias("id")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
