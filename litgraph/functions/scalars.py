@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -97,10 +97,11 @@ def embedding_text(kind: Column, name: Column, definition: Column) -> Column:
     return F.concat_ws(" - ", F.concat(kind, F.lit(": "), name), definition)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Matching-blocks ratio of two strings; use it after blocking only."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in pairs], pa.float64())
 
 
 def name_similarity(a: Column, b: Column) -> Column:
