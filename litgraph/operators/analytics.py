@@ -195,7 +195,7 @@ def ground_truth_queries(entities: DataFrame, edges: DataFrame, k: int) -> DataF
 
 def acronym_definition(name: Column) -> Column:
     """The acronym of ``Long Form (LF)`` in lower case, if it is the initials of the long form's words or the start of a single word; else null."""
-    pattern = r"^\s*(.+?)\s*\(([A-Za-z][A-Za-z0-9-]*)\)\s*$"
+    pattern = r"^\s*([^()]+?)\s*\(([A-Za-z][A-Za-z0-9.-]{1,15})\)\s*$"
     long, short = F.lower(F.regexp_extract(name, pattern, 1)), F.regexp_replace(F.lower(F.regexp_extract(name, pattern, 2)), "[^a-z0-9]", "")
     words = F.filter(F.split(long, r"[\s-]+"), lambda w: w != "")
     initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from .analytics import acronym_definition
 from .graph import connected_components
 
 #: A long form followed by its acronym in parentheses (fixed value).
-ACRONYM = r"^\s*(.+?)\s*\(([A-Z][A-Z0-9-]{1,9})\)\s*$"
+ACRONYM = r"^\s*([^()]+?)\s*\(([A-Za-z][A-Za-z0-9.-]{1,15})\)\s*$"
 
 
 def learn_acronyms(names: DataFrame, name_col: str = "name", order_col: str = "id") -> DataFrame:
-    """(acronym, long_form) of names such as ``Long Form (LF)``; the last in ``order_col`` wins."""
+    """(acronym, long_form) of names such as ``Long Form (LF)``, where LF are the initials or the start of a single word; the last in ``order_col`` wins."""
     name = F.col(name_col)
-    found = names.filter(name.rlike(ACRONYM)).select(
+    found = names.filter(acronym_definition(name).isNotNull()).select(
         S.acronym_key(F.regexp_extract(name, ACRONYM, 2)).alias("acronym"),
         S.normalize_surface(F.regexp_extract(name, ACRONYM, 1)).alias("long_form"),
         F.col(order_col).alias("_order"),
@@ -29,7 +30,8 @@ def learn_acronyms(names: DataFrame, name_col: str = "name", order_col: str = "i
 
 def canonicalize_names(names: DataFrame, acronyms: DataFrame, name_col: str = "name") -> DataFrame:
     """Adds ``canonical``: the surface form, or the long form if the name is a known acronym or ends in one."""
-    own = F.regexp_replace(F.col(name_col), ACRONYM, "$1")
+    name = F.col(name_col)
+    own = F.when(acronym_definition(name).isNotNull(), F.regexp_extract(name, ACRONYM, 1)).otherwise(name)
     rows = names.withColumn("_surface", S.normalize_surface(own)).withColumn("_key", S.acronym_key(own))
     known = acronyms.select(F.col("acronym").alias("_key"), "long_form")
     out = rows.join(known, "_key", "left").withColumn("canonical", F.coalesce("long_form", "_surface"))

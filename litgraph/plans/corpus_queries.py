@@ -65,28 +65,29 @@ def a14_incremental_new_items(g):
     return P.ingest_counts(stored, g.table("orders").select(F.col("o_custkey").alias("key")), "key")
 
 
-NAMED_SQL = "named AS (SELECT id, n, source AS long_name, CASE n % 3 WHEN 0 THEN source || ' (' || substr(source, 1, 2) || substr(source, length(source), 1) || ')' WHEN 1 THEN lower(source) ELSE substr(source, 1, 2) || substr(source, length(source), 1) END AS name, n % 100 / 100.0 AS confidence FROM concepts)"
+NAMED_SQL = "named AS (SELECT id, n, source AS long_name, CASE n % 4 WHEN 0 THEN source || ' (' || substr(source, 1, 3) || ')' WHEN 1 THEN lower(source) WHEN 2 THEN substr(source, 1, 3) ELSE source || ' (' || substr(source, 1, 2) || 'q)' END AS name, lower(source) || CASE WHEN n % 4 = 3 THEN ' ' || lower(substr(source, 1, 2)) || 'q' ELSE '' END AS canonical, n % 100 / 100.0 AS confidence FROM concepts)"
 
 
 def named(g) -> DataFrame:
-    """Concepts called by their type, as a long form with acronym, in lower case, or by the acronym."""
-    short = F.concat(F.substring("source", 1, 2), F.expr("right(source, 1)"))
-    name = F.when(F.col("n") % 3 == 0, F.concat("source", F.lit(" ("), short, F.lit(")"))).when(F.col("n") % 3 == 1, F.lower("source")).otherwise(short)
+    """Concepts called by their type: as a long form with acronym, in lower case, by the acronym, or with a note in parentheses that is no acronym of it."""
+    beside = lambda short: F.concat("source", F.lit(" ("), short, F.lit(")"))
+    by_rest = [beside(F.substring("source", 1, 3)), F.lower("source"), F.substring("source", 1, 3), beside(F.concat(F.substring("source", 1, 2), F.lit("q")))]
+    name = F.coalesce(*(F.when(F.col("n") % 4 == i, v) for i, v in enumerate(by_rest)))
     return g.concepts.select("id", "n", F.lit("Concept").alias("entity_type"), name.alias("name"), (F.col("n") % 100 / 100).alias("confidence"))
 
 
-@query(f"WITH {NAMED_SQL} SELECT DISTINCT lower(substr(long_name, 1, 2) || substr(long_name, length(long_name), 1)) AS acronym, lower(long_name) AS long_form FROM named WHERE n % 3 = 0")
+@query(f"WITH {NAMED_SQL} SELECT DISTINCT lower(substr(long_name, 1, 3)) AS acronym, lower(long_name) AS long_form FROM named WHERE n % 4 = 0")
 def l1_learn_acronyms(g):
     return L.learn_acronyms(named(g))
 
 
-@query(f"WITH {NAMED_SQL} SELECT id, lower(long_name) AS canonical FROM named")
+@query(f"WITH {NAMED_SQL} SELECT id, canonical FROM named")
 def l2_canonicalize_names(g):
     rows = named(g)
     return L.canonicalize_names(rows, L.learn_acronyms(rows)).select("id", "canonical")
 
 
-MENTIONS_SQL = f"{NAMED_SQL}, mentions AS (SELECT paper_id, lower(long_name) AS canonical, name, confidence FROM paper_concepts JOIN named ON id = concept_id)"
+MENTIONS_SQL = f"{NAMED_SQL}, mentions AS (SELECT paper_id, canonical, name, confidence FROM paper_concepts JOIN named ON id = concept_id)"
 
 
 def mentions(g) -> DataFrame:
@@ -131,9 +132,9 @@ def l9_false_merge_audit(g):
     return L.false_merge_audit(neighbours(g, 1, 0.9).withColumn("score", F.round(F.abs(n("id1") - n("id2")) / 7, 6)))
 
 
-@query(f"WITH {MENTIONS_SQL} SELECT CASE WHEN lower(name) = 'smd' OR lower(name) = 'small' THEN 'tiny' ELSE lower(name) END AS canonical, max(confidence) AS confidence, count(DISTINCT paper_id) AS source_count FROM mentions GROUP BY 1")
+@query(f"WITH {MENTIONS_SQL} SELECT CASE WHEN lower(name) = 'sma' OR lower(name) = 'small' THEN 'tiny' ELSE lower(name) END AS canonical, max(confidence) AS confidence, count(DISTINCT paper_id) AS source_count FROM mentions GROUP BY 1")
 def l10_disambiguate_by_synonym(g):
-    synonyms = named(g).filter("lower(name) in ('smd', 'small')").select("name", F.lit("Tiny").alias("preferred")).distinct()
+    synonyms = named(g).filter("lower(name) in ('sma', 'small')").select("name", F.lit("Tiny").alias("preferred")).distinct()
     return L.disambiguate_by_synonym(mentions(g), synonyms)
 
 
