@@ -15,10 +15,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return durable(one.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").union(one.select("b", "a", "w")))
 
 
-def settle(step, state: DataFrame, tolerance: float, rounds: int) -> tuple[DataFrame, bool]:
-    """Repeats ``step`` on (id, x) until the change of all x together is under ``tolerance``; also whether it got there."""
-    for _ in range(rounds):
-        new = durable(step(state).join(state.select("id", F.col("x").alias("_x")), "id"))
+#: Steps of an iteration that are planned together, between two checks for its end.
+STEPS = 5
+
+
+def settle(step, state: DataFrame, tolerance: float, rounds: int, finish=lambda x: x) -> tuple[DataFrame, bool]:
+    """Repeats ``step`` on (id, x), and ``finish`` after every few steps, until these change all x together by less than ``tolerance``; also whether they got there."""
+    for _ in range(-(-rounds // STEPS)):
+        moved = state
+        for _ in range(STEPS):
+            moved = step(moved)
+        new = durable(finish(durable(moved)).join(state.select("id", F.col("x").alias("_x")), "id"))
         change = new.agg(F.sum(F.abs(F.col("x") - F.col("_x")))).first()[0] or 0.0
         state = new.select("id", "x")
         if change < tolerance:
@@ -46,11 +53,13 @@ def eigenvector(edges: DataFrame, tolerance: float = 1e-6, rounds: int = 100) ->
     n = max(nodes.count(), 1)
 
     def power(state: DataFrame) -> DataFrame:
-        moved = state.union(state.join(steps, "id").select(F.col("other"), F.col("x") * F.col("w"))).groupBy("id").agg(F.sum("x").alias("x"))
+        return state.union(state.join(steps, "id").select(F.col("other"), F.col("x") * F.col("w"))).groupBy("id").agg(F.sum("x").alias("x"))
+
+    def scaled(moved: DataFrame) -> DataFrame:
         length = moved.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_l"))  # one row
         return moved.crossJoin(F.broadcast(length)).select("id", (F.col("x") / F.col("_l")).alias("x"))
 
-    found, near = settle(power, nodes.select("id", F.lit(1.0 / n).alias("x")), n * tolerance, rounds)
+    found, near = settle(power, nodes.select("id", F.lit(1.0 / n).alias("x")), n * tolerance, rounds, scaled)
     return found.select("id", F.col("x").alias("eigenvector")) if near else degree(edges).select("id", F.col("centrality").alias("eigenvector"))
 
 
