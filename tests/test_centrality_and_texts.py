@@ -123,3 +123,11 @@ def test_chunks_and_segments(spark):
         s = cut[i]
         assert s[0] + "".join(x[50:] for x in s[1:]) == text and all(len(x) <= 500 for x in s)
         assert all(a[-50:] == b[:50] and (len(a) == 500 or a[-2:] in (". ", "? ", "! ")) for a, b in pairwise(s))
+
+
+def test_bridges_inside_a_gap_count_half(spark):
+    scores = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.15), ("d", 0.1), ("e", 0.3)], "id string, betweenness double")
+    inside = spark.createDataFrame([("b",), ("c",), ("b",)], "id string")
+    got = [(r["id"], r["score"]) for r in gaps.bridges_by_betweenness(scores, inside).collect()]
+    assert got == [("a", 0.5), ("e", 0.3), ("b", 0.15)]
+    assert [r["id"] for r in gaps.bridges_by_betweenness(scores, inside, k=1).collect()] == ["a"]
