@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, durable, shared_folder
 
-__all__ = ["blocks", "components", "durable", "id_remainder", "key_map", "read", "shared_folder", "text_bytes", "word_hashes"]
+__all__ = ["blocks", "components", "durable", "id_remainder", "key_map", "read", "shared_folder", "text_bytes", "without_cycles", "word_hashes"]
 
 #: Bytes of text that a task turns into Python or numpy objects at a time.
 BLOCK_BYTES = 4 << 20
@@ -65,6 +67,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole, at[:-1], length
 
 
+@contextmanager
+def without_cycles() -> Iterator[None]:
+    """Work that makes many lists and no reference cycles, during which the search for cycles only costs time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 @dataclass(frozen=True)
 class KeyMap:
     """A bit map of 64-bit keys: all of them are in it, and few others."""
