@@ -9,6 +9,7 @@ bytes are counted by a shuffle.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,11 +26,11 @@ from .bpe import byte_letters
 from .common import blocks, durable, without_cycles
 from .sentence_pieces import SPACE
 
-#: Stretches of text over whose borders no token of either vocabulary goes: white space, then other
-#: characters; only a space or a line end after such a character starts a new one.
-STRETCH = r"(?V1)\p{White_Space}*\P{White_Space}+(?:[\p{White_Space}--[ \n]]\p{White_Space}*\P{White_Space}*)*|\p{White_Space}+"
+#: Stretches of text over whose borders no token of either vocabulary goes: white space and letters, or white
+#: space, other characters and the letters that follow; a space or a line end after such a character parts two.
+STRETCH = r"(?V1)\p{White_Space}*(?:\p{L}+|[^\p{L}\p{White_Space}]+(?:[\p{White_Space}--[ \n]]\p{White_Space}*[^\p{L}\p{White_Space}]*)*\p{L}*)|\p{White_Space}+"
 #: Distinct stretches that a Python worker remembers before it starts afresh.
-MEMO = 300_000
+MEMO = 200_000
 #: Pairs whose counts are broadcast at most (16 bytes each); rarer ones are joined.
 COMMON_PAIRS = 1 << 20
 
@@ -52,6 +53,7 @@ class Aligner:
         import sentencepiece
         import tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = tokenizers.Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -62,7 +64,7 @@ class Aligner:
             self.bytes_a[i] = piece.encode() if piece in special else bytes(letters[c] for c in piece)
         self.bytes_b = [self._bytes_b(i) for i in range(self.size_b)]
         plain = [i for i in range(self.size_b) if not (self.b.is_control(i) or self.b.is_unknown(i))]
-        if any(regex.search(r"[^\p{White_Space}▁][▁\n]", self.b.id_to_piece(i)) for i in plain) or any(regex.search(r"[^\p{White_Space}][ \n]", t.decode("utf-8", "replace")) for t in self.bytes_a):
+        if any(regex.search(r"[^\p{White_Space}▁][▁\n]|\p{L}\P{L}", self.b.id_to_piece(i)) for i in plain if not self.b.is_byte(i)) or any(regex.search(r"[^\p{White_Space}][ \n]", t.decode("utf-8", "replace")) for t in self.bytes_a):
             raise ValueError("tokens go over borders of stretches")
         if self.b.encode("\na", out_type=str)[:2] != [SPACE, "<0x0A>"]:
             raise ValueError(f"{path_b}: the vocabulary does not keep line ends apart")
