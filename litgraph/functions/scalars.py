@@ -40,6 +40,12 @@ def normalize_relationship_type(kind: Column) -> Column:
     return out
 
 
+def title_case(name: Column) -> Column:
+    """Every letter after one that is none in upper case, the others in lower case."""
+    parts = F.split(name, r"(?<=\P{L})(?=\p{L})")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30)))), "")
+
+
 def token_set(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(name), r"\s+"), lambda t: t != ""))
 

@@ -129,20 +129,42 @@ def fallback_label(keywords: Column) -> Column:
     return F.array_join(F.transform(short, lambda s: s["w"]), " & ")
 
 
+def finite_vectors(vectors: DataFrame) -> DataFrame:
+    """Rows whose embedding is neither null nor empty and has no null or non-finite component, with its ``size``."""
+    fine = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    return vectors.filter(fine).withColumn("size", F.size("embedding")).filter("size > 0")
+
+
 def cluster_embeddings(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """K-means of (id, embedding): (id, cluster). Null vectors and those of another length than the commonest are left out; fewer than three give no rows."""
-    sized = vectors.filter("embedding is not null").withColumn("size", F.size("embedding"))
-    common = sized.groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    if common is None or common["count"] < 3:
-        return vectors.select("id", F.lit(0).alias("cluster")).limit(0)
-    rows = sized.filter(F.col("size") == common["size"]).select("id", array_to_vector(F.transform("embedding", lambda e: e.cast("double"))).alias("features"))
-    model = KMeans(k=min(k, common["count"]), seed=seed).fit(rows)
-    return model.transform(rows).select("id", F.col("prediction").alias("cluster"))
+    """K-means of (id, embedding): (id, cluster).
+
+    Vectors of different lengths are clustered apart, the clusters numbered on from the
+    shortest to the longest; lengths with fewer than three vectors give no rows, nor do null vectors and
+    those with null or non-finite components.
+    """
+    rows = finite_vectors(vectors).select("id", "size", array_to_vector(F.transform("embedding", lambda e: e.cast("double"))).alias("features"))
+    out, first = vectors.select("id", F.lit(0).alias("cluster")).limit(0), 0
+    for r in sorted(rows.groupBy("size").agg(F.count("*").alias("n")).filter("n >= 3").collect(), key=lambda r: r["size"]):  # lengths, one or a few
+        own = rows.filter(F.col("size") == r["size"])
+        model = KMeans(k=min(k, r["n"]), seed=seed).fit(own)
+        out = out.union(model.transform(own).select("id", (F.col("prediction") + first).alias("cluster")))
+        first += min(k, r["n"])
+    return out
 
 
 def optimal_k_elbow(vectors: DataFrame, least: int = 3, most: int = 10, seed: int = 42) -> tuple[int, list[float]]:
-    """The number of clusters after which the cost of k-means falls least (greatest second difference), and the costs: at most eight fits."""
-    rows = vectors.filter("embedding is not null").select(array_to_vector(F.transform("embedding", lambda e: e.cast("double"))).alias("features"))
+    """The number of clusters after which the cost of k-means falls least (greatest second difference), and the costs: at most eight fits.
+
+    Vectors that are null or hold null or non-finite components are left out; all others must
+    have one length. k is at most the number of vectors; without any the answer is ``least``
+    and no costs.
+    """
+    rows = finite_vectors(vectors)
+    sizes = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {len(sizes)} lengths: ask for one at a time")
+    rows = rows.select(array_to_vector(F.transform("embedding", lambda e: e.cast("double"))).alias("features"))
+    most = min(most, sum(sizes.values()))
     costs = [KMeans(k=k, seed=seed).fit(rows).summary.trainingCost for k in range(least, most + 1)]
     bends = [costs[i] - 2 * costs[i + 1] + costs[i + 2] for i in range(len(costs) - 2)]
     return (min(most, bends.index(max(bends)) + least + 1) if bends else least), costs

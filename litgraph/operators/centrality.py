@@ -64,7 +64,7 @@ def eigenvector(edges: DataFrame, tolerance: float = 1e-6, rounds: int = 100) ->
 
 
 def walk_sums(dag: DataFrame, values: DataFrame, back: bool, rounds: int) -> DataFrame:
-    """(s, id, x): the sum over all walks of ``dag`` (s, id, other) to a node of the value where the walk begins; against the edges with ``back``."""
+    """(s, id, x): the sum over all walks of ``dag`` (s, id, other) to a node of the value where the walk begins; against the edges with ``back``. No walk may have more than ``rounds`` edges."""
     a, b = ("other", "id") if back else ("id", "other")
     edges = dag.select("s", F.col(a).alias("id"), F.col(b).alias("_to"))
     total = now = durable(values)
@@ -76,7 +76,7 @@ def walk_sums(dag: DataFrame, values: DataFrame, back: bool, rounds: int) -> Dat
     raise RuntimeError(f"walks are longer than {rounds} edges: weights must be greater than 0")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, rounds: int = 100) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Normalised betweenness (id, betweenness) over shortest weighted paths from ``sources`` (id; all nodes without it, else scaled up).
 
     Distances come from relaxing all sources at once, paths and dependencies from sums over
@@ -89,6 +89,7 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, rounds: int
     starts = nodes if sources is None else durable(nodes.join(sources.select("id").distinct(), "id", "left_semi"))
     n, k = nodes.count(), starts.count()
     reach = near = durable(starts.select(F.col("id").alias("s"), "id", F.lit(0.0).alias("d")))
+    rounds = n + 1  # a shortest path has less edges than there are nodes
     for _ in range(rounds):
         step = near.join(steps, "id").groupBy("s", F.col("other").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
         old = reach.select("s", "id", F.col("d").alias("_d"))
@@ -97,7 +98,7 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, rounds: int
             break
         reach = durable(reach.join(near, ["s", "id"], "left_anti").union(near.select("s", "id", "d")))
     else:
-        raise RuntimeError(f"distances did not settle in {rounds} rounds")
+        raise ValueError("weights must be greater than 0")
     ends = reach.select("s", F.col("id").alias("other"), F.col("d").alias("_e"))
     dag = durable(reach.join(steps, "id").join(ends, ["s", "other"]).filter(F.col("d") + F.col("w") == F.col("_e")).select("s", "id", "other"))
     paths = walk_sums(dag, starts.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("x")), False, rounds).withColumnRenamed("x", "paths")
@@ -137,7 +138,9 @@ def citation_ego(cites: DataFrame, centre: DataFrame, depth: int, most: int) ->
     every = found[0]
     for rows in found[1:]:
         every = every.union(rows)
-    return every.groupBy("source_id", "target_id").agg(F.min("level").alias("level"))
+    # an edge found from both ends keeps how it was found first
+    first = F.struct("level", F.when(F.col("relation") == "references", 0).otherwise(1))
+    return every.groupBy("source_id", "target_id").agg(F.min_by("relation", first).alias("relation"), F.min("level").alias("level"))
 
 
 def collection_tree(rows: DataFrame, join: str = " > ", rounds: int = 100) -> DataFrame:

@@ -59,7 +59,7 @@ def level_sql(frontier: str) -> str:
 
 @query(f"WITH {STEPS_SQL}, f0 AS (SELECT 'A1' AS id), l1 AS ({level_sql('SELECT id FROM f0')}), f1 AS (SELECT DISTINCT id FROM l1 WHERE id NOT IN (SELECT id FROM f0)), l2 AS ({level_sql('SELECT id FROM f1')}) SELECT source_id, target_id, CAST(min(level) AS INT) AS level FROM (SELECT source_id, target_id, 1 AS level FROM l1 UNION ALL SELECT source_id, target_id, 2 FROM l2) GROUP BY 1, 2")
 def h3_citation_ego(g):
-    return C.citation_ego(g.relationships.filter(AROUND), g.entities.filter("id = 'A1'"), 2, 4)
+    return C.citation_ego(g.relationships.filter(AROUND), g.entities.filter("id = 'A1'"), 2, 4).select("source_id", "target_id", "level")
 
 
 TREE_SQL = "WITH RECURSIVE r AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 6 THEN p_partkey // 6 END AS parent_id, p_name AS name FROM part), t AS (SELECT id, 0 AS depth, name AS path FROM r WHERE parent_id IS NULL UNION ALL SELECT r.id, depth + 1, path || ' > ' || name FROM t JOIN r ON r.parent_id = t.id) SELECT * FROM t"
