@@ -10,13 +10,13 @@ a bit field and the token before it is shortened, so no position is tried twice.
 from __future__ import annotations
 
 import heapq
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from .common import blocks, without_cycles
 
 SPACE = "▁"
 #: No piece goes over the borders of these words (checked when a model is read).
-WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+WORD = regex.compile(rf"{SPACE}*(?:\p{{L}}+|[^\p{{L}}{SPACE}\n]+\p{{L}}*)|{SPACE}+|\n")
 #: Distinct words, and pairs of tokens, that a Python worker remembers before it starts afresh.
 MEMO, PAIRS = 300_000, 2_000_000
 
@@ -44,7 +44,7 @@ class PieceCodec:
         self.end_id = model.eos_id()
         pieces = {self.name[i]: i for i in ids if i not in control and not model.is_byte(i)}
         probe = "Ａ​  x "  # a model that normalises texts would change these
-        if len(self.byte_id) != 256 or any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in pieces) or b"".join(self.raw(model, i) for i in model.encode(probe)).decode() != " " + probe:
+        if len(self.byte_id) != 256 or any(regex.search(rf"[^{SPACE}]{SPACE}|\n|\p{{L}}\P{{L}}", p) for p in pieces) or b"".join(self.raw(model, i) for i in model.encode(probe)).decode() != " " + probe:
             raise ValueError(f"{path}: not a plain BPE model with byte fallback, or pieces cross borders of words")
         #: Merging takes the pair whose joined piece has the best score, the leftmost among equals.
         score = {p: model.get_score(i) for p, i in pieces.items()}
@@ -53,8 +53,6 @@ class PieceCodec:
             raise ValueError(f"{path}: pieces of equal score that are not runs of one character")
         self.rank = {p: -s for p, s in score.items()}
         self.letters = {p for p in pieces if len(p) == 1}
-        #: Pairs of characters that some piece has in a row; merging never joins others.
-        self.inside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         #: A piece is only proposed if merging its own characters gives it back.
         self.id_of = {p: i for p, i in pieces.items() if len(p) == 1 or self.merge(p) == [p]}
         self.ahead = ahocorasick.Automaton()
@@ -131,24 +129,20 @@ class PieceCodec:
             at, last = end, token
             token = longest[n - 1 - at]
 
-    def parts(self, word: str) -> list[str]:
-        """``word`` cut wherever no piece has the two characters beside the cut in a row."""
-        inside, found, start = self.inside, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in inside:
-                found.append(word[start:i])
-                start = i
-        found.append(word[start:])
-        return found
-
     def word(self, word: str) -> list[int]:
         """The ids of a word; characters that are no piece become their bytes."""
-        memo, found = self.memo, []
-        for part in self.parts(word):
-            known = memo.get(part)
-            if known is None:
-                known = memo[part] = tuple([self.id_of[p] for p in self.backtrack(part)] if part[0] in self.letters else [self.byte_id[b] for b in part.encode()])
-            found += known
+        if self.letters.issuperset(word):
+            return [self.id_of[p] for p in self.backtrack(word)]
+        found: list[int] = []
+        start = 0
+        for i, c in enumerate(word):
+            if c not in self.letters:
+                if start < i:
+                    found += [self.id_of[p] for p in self.backtrack(word[start:i])]
+                found += [self.byte_id[b] for b in c.encode()]
+                start = i + 1
+        if start < len(word):
+            found += [self.id_of[p] for p in self.backtrack(word[start:])]
         return found
 
     def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +180,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     can open. Special strings in a text are ordinary text; U+2581 in a text counts as a space
     and is decoded as one. Null and empty texts have the end id only. Repeated rows give
     repeated results, null ids stay null, an empty table gives none; other columns are not
-    read. No shuffle: a task keeps one block of texts and a bounded memo of words.
+    read. No shuffle: a task holds one block of texts, a worker a bounded memo of words and pairs.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -200,8 +194,6 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             decoded = [c.decode(flat[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(ends - starts), pa.array(decoded, pa.string())], ["id", "ids", "n_tokens", "decoded"])
-        c.memo.clear()  # the worker goes on to other work
-        c.fits.clear()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, ids array<int>, n_tokens long, decoded string").withColumnRenamed("id", id_col)
