@@ -28,13 +28,15 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 UNSEEN = set("script style textarea title template iframe noframes select".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
 BLOCK = CLOSES_P | set("html head body button caption colgroup dd dt legend li noscript tbody td tfoot th thead tr".split())
+#: A cut-off tag without attributes counts as a tag if its name is one of these.
+KNOWN = BLOCK | VOID | UNSEEN | {"span", "strong", "em"}
 #: What an open element of the first kind is closed by: its own kind, up to the container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-LABEL = re.compile(r"\bdata-(main|off)\b")
+#: A tag's quotes open only after =; a comment may end where it starts; a tag that meets the next < ends there.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:=\s*\"[^\"]*+\"|=\s*'[^']*+'|[^<>])*+)(>|$|(?=<))", re.S)
+ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]\S*)))?")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 BODY = re.compile(r"<body[\s>]", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -60,10 +62,22 @@ MAINS = [
     "<section class='story' data-main><h2>Title</h2>~~<p>~~</p><div class='box promo newsletter' data-off><p>~</p></div><p>~</p></section>",
     "<article data-main><h1>Title</h1><p>~~~</p><figure><figcaption>~</figcaption></figure><footer data-off><p>~</p></footer></article>",
     "<div class='row'><div class='col' data-main><h1>Title</h1><p>~~~</p><p>~</p></div><div class='col' data-off><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></div></div>",
+    "<div class='u'><div class='v'><div data-main>~~~</div></div></div>",
+    "<div><div><div data-main>~~</div></div></div><div data-off><a href='/1'>One</a> <a href='/2'>Two</a></div>",
+    "<div data-off><a href='/1'>One</a></div><div data-main><p>~~</p></div><div data-off><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></div>",
+    "<div data-main><h1>Title</h1><p>~~</p><p>~</p></div><div data-off><ul><li><a href='/1'>~</a></li><li><a href='/2'>~</a></li></ul></div>",
+    "<div data-off><ul><li><a href='/1'>~</a></li><li><a href='/2'>~</a></li></ul></div><div><div data-main>~~~<p>~~</p></div></div>",
+    "<article data-main><p>~~<button data-off>Share this</button></p><button data-off>More</button><p>~</p></article>",
+    "<div data-main><p>~~</p><p>~ <button data-off>Send</button></p></div>",
+    "<article data-main><p>~~</p><ul><li><a href='/1'>~</a></li><li>~</li></ul><p>~ <a href='/2'>a link</a></p></article>",
+    "<article data-main><h1>Title</h1><p>~~</p><h2>Links</h2><ul><li><a href='/1'>One of them</a></li><li><a href='/2'>Two of them</a></li></ul></article>",
+    "<td data-off><a href='/1'>One</a></td><div data-main>~<div>~~</div><div>~</div></div>",
+    "<div class='x'><div class='y' data-main><h2>Title</h2><div>~~</div><div>~</div></div><div class='z' data-off><div><a href='/1'>One</a></div><div><a href='/2'>Two</a></div></div></div>",
+    "<section data-main><p>~~</p></section><section data-off><h3>More</h3><p><a href='/1'>~</a></p><p><a href='/2'>~</a></p></section>",
     "<div class='article' data-main><dl><dt>term</dt><dd>~</dd><dt>term</dt><dd>~~</dd></dl><pre>~</pre></div>",
 ]
 #: Content that stands right in the body.
-BARE = ["<p>~</p>", "<p>~~</p>~~<div>~~~</div><div>~~</div>", "<h1>Title</h1><p>~~</p><p>~~~</p><p>~~~</p>", "~~", "<h1>Title</h1><ul><li>~</li><li>two</li></ul>", "<div>~</div>", "<h2>Title</h2><table><tr><td>~</td><td>2</td></tr></table><p>~~</p>", "few words"]
+BARE = ["<p>~</p>", "<p>~~</p>~~<div>~~~</div><div>~~</div>", "<h1>Title</h1><p>~~</p><p>~~~</p><p>~~~</p>", "~~", "<h1>Title</h1><ul><li>~</li><li>two</li></ul>", "<div>~</div>", "<h2>Title</h2><table><tr><td>~</td><td>2</td></tr></table><p>~~</p>", "few words", "<h1>Title</h1><p>Short one.</p>", "<p>Short one.</p><p>~</p>"]
 #: What stands around it, before and after.
 AROUND = [
     ("<header class='site-header' data-off><a href='/'>Site</a><nav class='menu'><ul><li><a href='/a'>A</a></li><li><a href='/b'>B</a></li></ul></nav></header>", "<aside class='sidebar' data-off><h3>Related</h3><ul><li><a href='/r'>R</a></li><li><a href='/q'>~</a></li></ul><p>~</p></aside><footer class='footer' data-off><p>~</p></footer>"),
@@ -98,15 +112,31 @@ class Node:
     parent: int
     label: str
     size: int = 0  # characters of its own text
-    linked: int = 0  # links inside it, own or in its text
+    linked: int = 0  # those of them inside links
+    total: int = 0  # characters of all text below it
+    total_linked: int = 0
+
+
+def attributes_of(tag: str) -> dict[str, str]:
+    """Names and values of a tag's attributes; the first of a name holds."""
+    found: dict[str, str] = {}
+    for a in ATTRIBUTE.finditer(tag):
+        found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+    return found
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    """By an attribute of that name or a style, never by a word inside another value."""
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(attributes.get("style", "")))
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements in page order with their parents (block elements only), and blocks of text: (element, text).
 
     Inline elements and unknown ones do not part blocks; an end tag closes up to its start,
-    one without start is ignored. Hidden elements are left out with all that they hold. Time
-    is linear in the page: the last open element of each tag is known.
+    one without start is ignored. Hidden elements are left out with all that they hold. A <
+    that starts no tag is text, as is one before words without values that no > follows
+    (a<b and so). Time is linear in the page: the last open element of each tag is known.
     """
     nodes, blocks_, open_, text = [Node("#root", frozenset(), -1, "")], [], [0], []
     places: dict[str, list[int]] = {}
@@ -116,21 +146,33 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         places["body"] = [1]
     position = 0
     shut = None  # depth of the hidden element that is open
+    link = None  # depth of elements at which a link was opened
+    linked = 0  # characters of links in ``text``
+
+    def say(part: str):
+        nonlocal linked
+        text.append(part)
+        if link is not None:
+            linked += len(part.strip())
 
     def flush():
+        nonlocal linked
         if text:
             if shut is None:
-                blocks_.append((open_[-1], "".join(text)))
+                blocks_.append((open_[-1], "".join(text), linked))
             text.clear()
+        linked = 0
 
     def close_to(depth: int):
-        nonlocal shut
+        nonlocal shut, link
         if depth < len(open_):
             flush()
             while len(open_) > depth:
                 places[nodes[open_.pop()].tag].pop()
             if shut is not None and depth <= shut:
                 shut = None
+            if link is not None and depth < link:
+                link = None
 
     def last(kinds) -> int:
         return max((p[-1] for k in kinds if (p := places.get(k))), default=0)
@@ -143,16 +185,21 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m.start() < position:
             continue
         if m.start() > position:
-            text.append(html[position : m.start()])
+            say(html[position : m.start()])
         position = m.end()
         if m[2] is None:
             continue
-        end, tag, attributes = m[1], m[2].lower(), m[3] or ""
+        end, tag, inner = m[1], m[2].lower(), m[3] or ""
+        if not m[4] and m.end() < len(html) and not (tag in KNOWN if not inner.strip() else "=" in inner):
+            say(m[0])
+            continue
         if end:
             if tag == "br":
                 text.append(" ")
             elif tag in BLOCK:
                 close_to(depth_of((tag,), ()))
+            elif tag == "a":
+                link = None
             continue
         if tag in UNSEEN:
             position = _after(html, tag, position)
@@ -166,7 +213,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 flush()
             continue
         if tag not in BLOCK:
-            nodes[open_[-1]].linked += tag == "a"
+            if tag == "a":
+                link = len(open_) if "href" in attributes_of(inner) else None
             continue
         if tag in CLOSES_P:
             close_to(depth_of(("p",), ("table", "button")))
@@ -175,30 +223,38 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             while (d := depth_of(kinds, stop)) < len(open_):
                 close_to(d)
         flush()
+        attributes = attributes_of(inner)
         if shut is None:
-            words = frozenset(w for a in NAMES.finditer(attributes) for w in WORD.findall((a[1] or a[2] or a[3] or "").lower()))
-            nodes.append(Node(tag, words, open_[-1], (LABEL.search(attributes) or ("", ""))[1]))
+            words = frozenset(w for a in ("class", "id", "role") for w in WORD.findall(attributes.get(a, "").lower()))
+            nodes.append(Node(tag, words, open_[-1], "main" if "data-main" in attributes else "off" if "data-off" in attributes else ""))
         else:
             nodes.append(Node(tag, frozenset(), open_[-1], ""))
         if tag == "xmp":  # shown as it is written
             close = _after(html, tag, position)
             open_.append(len(nodes) - 1)
             places.setdefault(tag, []).append(len(open_) - 1)
-            text.append(escape(re.sub(r"(?i)</xmp[^>]*>?$", "", html[position:close])))
+            say(escape(re.sub(r"(?i)</xmp[^>]*>?$", "", html[position:close])))
             position = close
             close_to(len(open_) - 1)
-        elif not attributes.rstrip().endswith("/") or tag in CLOSES_P:
+        elif not inner.rstrip().endswith("/") or tag in CLOSES_P:
             open_.append(len(nodes) - 1)
             places.setdefault(tag, []).append(len(open_) - 1)
-            if shut is None and HIDDEN.search(attributes):
+            if shut is None and is_hidden(attributes):
                 shut = len(open_) - 1
     if position < len(html):
-        text.append(html[position:])
+        say(html[position:])
     flush()
-    found = [(owner, text) for owner, t in blocks_ if (text := SPACE.sub(" ", unescape(t)).strip())]
-    for owner, t in found:
+    found = [(owner, text, n) for owner, t, n in blocks_ if (text := SPACE.sub(" ", unescape(t)).strip())]
+    for owner, t, n in found:
         nodes[owner].size += len(t)
-    return nodes, found
+        nodes[owner].linked += min(n, len(t))
+    for n in reversed(nodes):  # children come after their parents
+        n.total += n.size
+        n.total_linked += n.linked
+        if n.parent >= 0:
+            nodes[n.parent].total += n.total
+            nodes[n.parent].total_linked += n.total_linked
+    return nodes, [(owner, t) for owner, t, _ in found]
 
 
 def _after(html: str, tag: str, position: int) -> int:
@@ -208,10 +264,11 @@ def _after(html: str, tag: str, position: int) -> int:
 
 
 def features_of(n: Node) -> list[str]:
-    """Tag, class and id words, and how much text of its own a node has, linked or not."""
+    """Tag, class and id words, how much text of its own a node has and all below it, linked or not."""
     out = ["*", n.tag, *("." + w for w in n.words)]
     if n.size:
-        out.append("#linked" if n.linked and n.size < 60 * n.linked else "#short" if n.size < 40 else "#text" if n.size < 120 else "#long")
+        out.append("#linked" if 2 * n.linked > n.size else "#short" if n.size < 40 else "#text" if n.size < 120 else "#long")
+    out.append("%none" if not n.total else "%linked" if 2 * n.total_linked > n.total else "%short" if n.total < 100 else "%long")
     return out
 
 

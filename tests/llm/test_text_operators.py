@@ -355,6 +355,18 @@ SAID = "Here we read another phrase that has quite a few words. "
         (f"<div class=row><div class='col-8'><h1>T</h1><p>{SAID * 3}</p></div><div class='col-4'><ul><li><a href=1>no</a></li><li><a href=2>no</a></li></ul></div></div>", f"T\n{(SAID * 3).strip()}"),
         ("<body><nav><a href=x>no</a></nav><h1>Yes</h1><p>short</p><footer>no</footer></body>", "Yes\nshort"),
         ("only text", "only text"),
+        (f"<article title='the hidden cost of it'><p>{SAID}</p></article>", SAID.strip()),
+        (f"<article class='post hidden mobile'><p>{SAID}</p></article>", SAID.strip()),
+        (f"<article><p title=it's>{SAID}</p></article>", SAID.strip()),
+        (f"<article><p>If a<b and it's so. {SAID}</p><p>x<y</p></article>", f"If a<b and it's so. {SAID.strip()}\nx<y"),
+        (f"<article><!--><p>{SAID}</p><!-- no --!><p>b</p></article>", f"{SAID.strip()}\nb"),
+        (f"<article><p>{SAID}</p><p class=\"no", SAID.strip()),
+        (f"<article><p aria-hidden=true>no</p><p aria-hidden=false title='aria-hidden=true'>{SAID}</p></article>", SAID.strip()),
+        (f"<div class=a><div class=b><div class=c>{SAID * 3}</div></div></div>", (SAID * 3).strip()),
+        (f"<nav><a href=/>no</a></nav><div><p>{SAID * 4}</p></div><div><ul><li><a href=1>no</a></li><li><a href=2>no</a></li></ul></div>", (SAID * 4).strip()),
+        (f"<nav><a href=/>no</a></nav><div><p>{SAID * 4}</p></div><div><ul><li><a href=1>no, {SAID}</a></li><li><a href=2>no, {SAID}</a></li></ul></div>", (SAID * 4).strip()),
+        (f"<article><p>{SAID * 2}<button>no</button></p></article>", (SAID * 2).strip()),
+        (f"<div class=kopfzeile><a href=/>no</a></div><div class=inhalt><h1>Ein Titel</h1><p>{SAID * 2}</p></div><div class=fusszeile><a href=/i>no</a></div>", f"Ein Titel\n{(SAID * 2).strip()}"),
         ("<nav><ul><li><a href=/>no</a></li></ul></nav>", ""),
     ],
 )
@@ -363,20 +375,21 @@ def test_html_layouts(html, want):
 
 
 def test_html_held_out_layouts():
-    """Weights from all labelled pages but every fourth, tried on those, and on real pages, whose article stands in its element."""
+    """Each fifth of the labelled parts, in all its surroundings, is read with weights that saw no page of it."""
     from collections import Counter
 
     pages = html_extract.labelled_pages()
-    model = html_extract.train(tuple(p for k, p in enumerate(pages) if k % 4))
     hit = said = real = 0
-    for page in pages[::4]:
-        nodes, found = html_extract.parse(page)
-        state = [0]
-        for n in nodes[1:]:
-            state.append({"main": 1, "off": 0}.get(n.label, state[n.parent]))
-        want, got = Counter(t for k, t in found if state[k]), Counter(filter(None, html_extract.main_text(page, model).split("\n")))
-        hit, said, real = hit + sum((want & got).values()), said + sum(got.values()), real + sum(want.values())
-    assert 2 * hit / (said + real) > 0.95
+    for fold in range(5):
+        model = html_extract.train(tuple(p for k, p in enumerate(pages) if k // 4 % 5 != fold))
+        for page in (p for k, p in enumerate(pages) if k // 4 % 5 == fold):
+            nodes, found = html_extract.parse(page)
+            state = [0]
+            for n in nodes[1:]:
+                state.append({"main": 1, "off": 0}.get(n.label, state[n.parent]))
+            want, got = Counter(t for k, t in found if state[k]), Counter(filter(None, html_extract.main_text(page, model).split("\n")))
+            hit, said, real = hit + sum((want & got).values()), said + sum(got.values()), real + sum(want.values())
+    assert 2 * hit / (said + real) > 0.92
 
 
 def test_html_time_is_linear():
