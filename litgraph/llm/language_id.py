@@ -23,8 +23,6 @@ from .common import blocks
 PROFILE = 300
 #: The classifier is fitted on at most this many labelled documents of a language, the first by a hash.
 TRAINING_DOCS = 1000
-#: So many languages are learned, those with the most documents.
-LANGUAGES = 1000
 #: Stands for what is no letter: one more than the last code point.
 EDGE = sys.maxunicode + 1
 UNKNOWN = "und"
@@ -94,7 +92,7 @@ def profiles_of(ranked: list[tuple[str, int, int]]) -> Profiles:
 def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAINING_DOCS) -> Profiles:
     """Profiles of the languages in ``lang_col``, from at most ``max_docs`` rows of each that ``usable`` (a condition) lets in.
 
-    A rare language has all its rows in the sample; rows equal in id and text count once. The
+    Every language is learned. A rare one has all its rows in the sample; rows equal in id and text count once. The
     driver gets PROFILE codes of each language, not texts. Rows without text or language
     teach nothing; with no rows at all every prediction is ``und``.
     """
@@ -102,8 +100,8 @@ def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"), usable.alias("usable"))
     rows = rows.filter("usable and lang is not null and text is not null")
     # a share of each language a little over what is wanted, of which the first by hash stay
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
-    some = rows.join(F.broadcast(sizes), "lang").filter(F.pmod("h", F.lit(1 << 30)) * F.col("rows") < F.lit(1.3 * max_docs * (1 << 30)))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    some = rows.join(sizes, "lang").filter(F.pmod("h", F.lit(1 << 30)) * F.col("rows") < F.lit(1.3 * max_docs * (1 << 30)))
     once = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
     sample = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).filter(F.col("place") <= max_docs)
 
