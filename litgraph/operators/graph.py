@@ -138,6 +138,11 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return inner.crossJoin(square).select(F.round(F.col("inside") / F.col("m") - F.col("dd") / (4 * F.col("m") * F.col("m")), 6).alias("modularity"))
 
 
+def scaled_modularity(rows: DataFrame) -> DataFrame:
+    """Adds the modularity shifted and scaled to 0 to 1 (scaled)."""
+    return rows.withColumn("scaled", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("modularity") + 0.5) / 1.5)), 6))
+
+
 def cluster_pairs(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """All pairs of clusters with the edges between them and strength = edges / (size a x size b).
 

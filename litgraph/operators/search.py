@@ -79,3 +79,36 @@ def paper_gap_connections(matched: DataFrame, gaps: DataFrame, labels: DataFrame
     called = lambda c: labels.select(F.col("cluster_id").alias(c), F.col("label").alias(f"label_{c}"))
     named = first.join(gaps.select("gap_id", "a", "b"), "gap_id").join(called("a"), "a", "left").join(called("b"), "b", "left")
     return named.select("paper_id", "gap_id", F.coalesce("label_a", F.lit("Unknown Cluster A")).alias("label_a"), F.coalesce("label_b", F.lit("Unknown Cluster B")).alias("label_b"), "found_by")
+
+
+def nearest_entities(entities: DataFrame, query: DataFrame, k: int, kind: str | None = None, least: float | None = None) -> DataFrame:
+    """The ``k`` entities (id, name, entity_type, embedding) nearest to a query vector (embedding, one row), of one type if ``kind`` is given: (id, name, entity_type, score), ties by id."""
+    own = entities if kind is None else entities.filter(F.col("entity_type") == kind)
+    rows = with_cosine(own.filter("embedding is not null"), query).withColumnRenamed("cosine", "score")
+    kept = rows if least is None else rows.filter(F.col("score") >= least)
+    return kept.orderBy(F.desc("score"), "id").limit(k).select("id", "name", "entity_type", "score")
+
+
+def similar_entities(entities: DataFrame, node: str, k: int) -> DataFrame:
+    """The ``k`` entities nearest to one's own vector, itself left out: (id, name, entity_type, score).
+
+    One without a vector gets others of its type instead, the first ``k`` by name and id, with
+    a null score; an unknown one gets nothing.
+    """
+    asked = durable(entities.filter(F.col("id") == node).select("entity_type", "embedding").limit(1))  # one row
+    near = nearest_entities(entities.filter(F.col("id") != node), asked.filter("embedding is not null"), k)
+    type_ = F.broadcast(asked.filter("embedding is null").select("entity_type"))
+    same = entities.filter(F.col("id") != node).join(type_, "entity_type", "left_semi").orderBy("name", "id").limit(k)
+    return near.union(same.select("id", "name", "entity_type", F.lit(None).cast("double")))
+
+
+def search_chunks(chunks: DataFrame, papers: DataFrame, query: DataFrame, k: int, sections: list[str] | None = None, least: float = 0.5) -> DataFrame:
+    """The ``k`` (1 to 100) chunks (id, paper_id, section_type, text, embedding) nearest to a query vector with a cosine of at least ``least``, with their papers' titles.
+
+    Of the given sections only, if any; chunks without a known paper have no title.
+    """
+    k = max(1, min(k, 100))
+    kept = chunks if sections is None else chunks.filter(F.col("section_type").isin(sections))
+    best = with_cosine(kept.filter("embedding is not null"), query).filter(F.col("cosine") >= least).orderBy(F.desc("cosine"), "id").limit(k)
+    found = papers.select("paper_id", "title").join(F.broadcast(best), "paper_id", "right")  # 100 rows at most
+    return found.select("id", "paper_id", "title", "section_type", "text", F.col("cosine").alias("score"))

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from litgraph.operators import evaluation as E
+from litgraph.operators import reviews as R
+from litgraph.operators import search as N
 from litgraph.operators import summary as Y
 
 ENTITY = "id string, name string, entity_type string, embedding array<double>"
@@ -111,3 +113,44 @@ def test_project_summary_of_empty_tables(spark):
     no = lambda df: df.filter("false")
     empty = Y.project_summary(no(nodes), no(nodes), no(links), no(members), no(links), no(scores))
     assert empty.overview.first()["n_entities"] == 0 and empty.quality.count() == 1 and empty.gaps.collect() == empty.emerging.collect() == []
+
+
+def test_reviews_quotas_and_access(spark):
+    papers = spark.createDataFrame([(1, 1, "d", "t", True, True, True), (1, 2, "d", "u", True, False, None), (1, 3, None, "t", None, None, True), (1, 4, None, None, True, True, False), (1, 5, None, None, True, True, False), (2, 1, "d", "t", False, False, False)], "review int, n int, doi string, title string, screened boolean, included boolean, has_pdf boolean")
+    flow = R.review_flow(papers, ["review"])
+    assert sorted(tuple(r) for r in flow.collect()) == [(1, 5, 2, 3, 1, 2, 0, 2, -1, 3), (2, 1, 0, 1, 0, 1, 1, 0, 0, 0)]
+    errors = {r["review"]: r["errors"] for r in R.review_errors(flow, ["review"]).collect()}
+    assert errors == {1: ["Studies included exceeds reports assessed"], 2: []} and R.review_flow(papers.filter("false"), ["review"]).collect() == []
+
+    projects = spark.createDataFrame([("a", "pro"), ("b", None), ("c", "odd"), ("d", "pro")], "project_id string, plan string")
+    plans = spark.createDataFrame([("free", 5), ("pro", 10)], "plan string, daily_limit long")
+    usage = spark.createDataFrame([("a", "x", "d1", 9), ("a", "y", "d1", 2), ("b", "x", "d1", 4), ("c", "x", "d0", 9), ("c", "x", "d1", 5)], "project_id string, api_type string, day string, call_count long")
+    own = spark.createDataFrame([("d", 0)], "project_id string, daily_limit long")
+    got = sorted(tuple(r) for r in R.quota_report(projects, plans, own, usage, "d1").collect())
+    assert got == [("a", 10, 11, 0, True, True, {"x": 9, "y": 2}), ("b", 5, 4, 1, False, False, {"x": 4}), ("c", 5, 5, 0, True, True, {"x": 5}), ("d", 0, 0, 0, True, False, {})]
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), ("c", 3), (None, 4)], "project_id string, x int")
+    link = spark.createDataFrame([("a", 7), ("c", 8)], "project_id string, user_id int")
+    assert sorted(r["x"] for r in R.restrict_to_accessible(rows, 7, link, link.filter("false"), projects.filter("project_id = 'b'")).collect()) == [1, 2, 2]
+
+
+def test_searches_with_all_parameters(spark):
+    nodes = spark.createDataFrame([("a", "A", "Concept", [1.0, 0.0]), ("b", "B", "Concept", [1.0, 1.0]), ("c", "C", "Method", [1.0, 0.1]), ("d", "D", "Concept", None), ("e", "E", "Concept", [0.0, 0.0])], ENTITY)
+    one = nodes.filter("id = 'a'").select("embedding")
+    assert [r["id"] for r in N.nearest_entities(nodes, one, 2).collect()] == ["a", "c"] and [r["id"] for r in N.nearest_entities(nodes, one, 5, "Concept", 0.5).collect()] == ["a", "b"]
+    assert [r["id"] for r in N.similar_entities(nodes, "a", 2).collect()] == ["c", "b"]
+    assert [(r["id"], r["score"]) for r in N.similar_entities(nodes, "d", 2).collect()] == [("a", None), ("b", None)] and N.similar_entities(nodes, "z", 2).collect() == []
+    chunks = spark.createDataFrame([(1, "p", "intro", "x", [1.0, 0.0]), (2, "q", "end", "y", [1.0, 0.2]), (3, "p", "intro", "z", [0.0, 1.0]), (4, None, None, None, [1.0, 0.1])], "id int, paper_id string, section_type string, text string, embedding array<double>")
+    papers = spark.createDataFrame([("p", "P")], "paper_id string, title string")
+    assert sorted((r["id"], r["title"]) for r in N.search_chunks(chunks, papers, one, 0).collect()) == [(1, "P")]
+    assert sorted((r["id"], r["title"]) for r in N.search_chunks(chunks, papers, one, 9).collect()) == [(1, "P"), (2, None), (4, None)]
+    assert [r["id"] for r in N.search_chunks(chunks, papers, one, 9, ["end"]).collect()] == [2]
+
+
+def test_edges_with_shared_papers(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "id string")
+    edges = spark.createDataFrame([("a", "b", "CO_OCCURS_WITH", 2.0), ("b", "c", "CO_OCCURS_WITH", 1.0), ("a", "c", "USES", 1.0), ("a", "x", "USES", 9.0)], EDGE)
+    mentions = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "b"), (3, "c")], "paper_id int, id string")
+    got = [tuple(r) for r in R.edges_with_shared_papers(nodes, edges, mentions, 3).collect()]
+    assert sorted(got) == [("a", "b", "CO_OCCURS_WITH", 2.0, 2), ("a", "c", "USES", 1.0, None), ("b", "c", "CO_OCCURS_WITH", 1.0, 1)]
+    assert len(R.edges_with_shared_papers(nodes, edges, mentions, 1).collect()) == 1
