@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.graph import durable
 from .common import blocks
 
 PROFILE = 300
 #: The classifier is fitted on at most this many labelled documents of a language, the first by a hash.
 TRAINING_DOCS = 1000
+#: Up to so many languages are broadcast with their number of rows.
+BROADCAST_LANGUAGES = 65_536
 #: Stands for what is no letter: one more than the last code point.
 EDGE = sys.maxunicode + 1
 UNKNOWN = "und"
@@ -100,8 +103,9 @@ def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"), usable.alias("usable"))
     rows = rows.filter("usable and lang is not null and text is not null")
     # a share of each language a little over what is wanted, of which the first by hash stay
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    some = rows.join(sizes, "lang").filter(F.pmod("h", F.lit(1 << 30)) * F.col("rows") < F.lit(1.3 * max_docs * (1 << 30)))
+    # texts are only joined by language, which may be a hot key, where the languages are too many to broadcast
+    sizes = durable(rows.groupBy("lang").agg(F.count("*").alias("rows")))
+    some = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes, "lang").filter(F.pmod("h", F.lit(1 << 30)) * F.col("rows") < F.lit(1.3 * max_docs * (1 << 30)))
     once = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
     sample = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).filter(F.col("place") <= max_docs)
 

@@ -287,6 +287,19 @@ def test_language_id_sample(spark):
     assert again.languages == once.languages == ["xx", "yy", "zz"] and (again.ranks[[0, 2]] == once.ranks[[0, 2]]).all()
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    """Also where the languages are joined, not broadcast: the same profiles."""
+    rows = [(i, " ".join(chr(0x4E00 + 7 * (i % 40) + j) * 2 for j in range(5)), f"l{i % 40}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    first = language_id.train(docs, F.lit(True))
+    assert len(first.languages) == 40
+    monkeypatch.setattr(language_id, "BROADCAST_LANGUAGES", 10)
+    second = language_id.train(docs, F.lit(True))
+    assert first.languages == second.languages and (first.codes == second.codes).all() and (first.ranks == second.ranks).all()
+
+
 def test_out_of_place_distance():
     codes, n = language_id.gram_counts("Abc, abd!")
     order = language_id.ranking(codes, n, 5)
