@@ -36,7 +36,7 @@ def test_odd_rows(spark, sf):
 
 
 def test_all_registered():
-    assert {*QUERIES} >= {"pipeline"} and sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == [*range(1, 11)]
+    assert {*QUERIES} >= {"pipeline"} and sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == [*range(1, 14)]
 
 
 def test_near_duplicates_of_repeated_and_null_ids(spark, sf):
