@@ -93,6 +93,14 @@ def quality_band(value: Column) -> Column:
     return F.when(value >= 0.5, "Strong").when(value >= 0.3, "Moderate").otherwise("Weak")
 
 
+def ascii_boundaries(pattern: Column) -> Column:
+    """The regular expression with ``\\b`` and ``\\B`` written out for ASCII words; Java's own count letters of every script."""
+    w = "[0-9A-Za-z_]"
+    for mark, means in (("b", f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"), ("B", f"(?:(?<={w})(?={w})|(?<!{w})(?!{w}))")):
+        pattern = F.regexp_replace(pattern, rf"(?<!\\)((?:\\\\)*)\\{mark}", f"$1{means}")
+    return pattern
+
+
 def split_authors(authors: Column) -> Column:
     """By semicolons, else by commas if there is no digit, else one author; empty names go."""
     parts = F.when(F.contains(authors, F.lit(";")), F.split(authors, ";")).when(F.contains(authors, F.lit(",")) & ~authors.rlike("[0-9]"), F.split(authors, ",")).otherwise(F.array(authors))

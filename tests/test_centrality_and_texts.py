@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litgraph.operators import centrality, gaps
+from litgraph.operators import analytics, centrality, gaps
 from litgraph.operators import texts as T
 
 EDGE = "source_id string, target_id string, weight double"
@@ -131,3 +131,11 @@ def test_bridges_inside_a_gap_count_half(spark):
     got = [(r["id"], r["score"]) for r in gaps.bridges_by_betweenness(scores, inside).collect()]
     assert got == [("a", 0.5), ("e", 0.3), ("b", 0.15)]
     assert [r["id"] for r in gaps.bridges_by_betweenness(scores, inside, k=1).collect()] == ["a"]
+
+
+def test_keywords_end_at_ascii_words(spark):
+    docs = spark.createDataFrame([(1, "nation"), (2, "nationé"), (3, "éthe"), (4, "nations"), (5, "TİON x"), (6, None)], "doc_id long, text string")
+    rules = [(0, "M", "tion", r"tion\b", 0.6), (1, "C", "the", r"\bthe\b", 0.7), (2, "X", "inside", r"tio\Bns", 0.5)]
+    patterns = spark.createDataFrame(rules, "place int, entity_type string, name string, pattern string, confidence double")
+    found = analytics.keyword_entities(docs, patterns, 2)
+    assert sorted((r["doc_id"], r["name"]) for r in found.collect()) == [(1, "tion"), (2, "tion"), (3, "the"), (4, "inside"), (5, "tion")]
