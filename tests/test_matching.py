@@ -329,3 +329,12 @@ def test_title_case(spark):
     names = ["o'neil étude", "K-12 e-LEARNING", "(abc)def 3d", "", "ÉCOLE"]
     got = [r["t"] for r in spark.createDataFrame([(n,) for n in names], "n string").coalesce(1).select(S.title_case(F.col("n")).alias("t")).collect()]
     assert got == [n.title() for n in names]
+
+
+def test_ingest_finds_words_before_letters_of_other_scripts(spark, tmp_path):
+    store = str(tmp_path / "log")
+    ingest.create_store(spark, store)
+    rules = spark.createDataFrame([(0, "M", "tion", r"tion\b", 0.6)], "place int, entity_type string, name string, pattern string, confidence double")
+    for i, rows in enumerate([[("a", "nation"), ("b", "nationé")], [("c", "nationж"), ("d", "nations")]]):
+        ingest.ingest_batch(spark.createDataFrame(rows, "key string, text string"), i, store, rules)
+    assert [r["source_count"] for r in ingest.stored_entities(spark, store).collect()] == [3]
