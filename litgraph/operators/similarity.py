@@ -9,6 +9,7 @@ few pivots; the triangle inequality of angles says which other pivots' vectors c
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from .graph import durable
 KEY_BLOCK = 4_096
 #: Pivots that vectors are dealt to, and vectors of a block.
 PIVOTS, VECTOR_BLOCK = 64, 2_048
+#: Blocks of vectors of a group where all are compared, unless a block would pass so many vectors.
+BLOCKS, MOST_BLOCK = 12, 65_536
 
 
 def word_tokens(name: Column) -> Column:
@@ -83,10 +86,12 @@ def overlap_pairs(left: DataFrame, right: DataFrame | None, share: float) -> Dat
     deal = lambda df, id_, own, n, other, m: df.join(dealt, keys).withColumn(own, F.pmod(F.xxhash64(id_), F.col(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
     l = deal(l, "id1", "i", "b1", "j", "b2").select("id1", *keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
     r = deal(r, "id2", "j", "b2", "i", "b1").select("id2", *keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
-    met = l.join(r, [*keys, "i", "j"])
+    # so many tasks whatever the bytes: few tokens give many pairs
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = l.repartition(parts, *keys, "i", "j").join(r.repartition(parts, *keys, "i", "j"), [*keys, "i", "j"])
     if right is None:
         met = met.filter("id1 <> id2 and (n1 < n2 or id1 < id2)").select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
-    pairs = met.select("id1", "id2").distinct()
+    pairs = met.select("id1", "id2").distinct().repartition(parts)
     side = lambda df, c, t: df.select(F.col("id").alias(c), F.col("tokens").alias(t))
     both = pairs.join(side(one, "id1", "t1"), "id1").join(side(two, "id2", "t2"), "id2")
     shared = F.size(F.array_intersect("t1", "t2"))
@@ -197,16 +202,19 @@ def match_files(files: DataFrame, items: DataFrame, least: float = 0.6) -> DataF
     ``files`` has file_id, directory and stem, ``items`` item_key, title and place. A file
     goes to the item whose key is its directory, else to the first item (by place) whose
     title has a Jaccard similarity of words of at least ``least`` with the stem (lower case,
-    ``_`` and ``-`` as spaces), else its directory stands for a key.
+    ``_`` and ``-`` as spaces), else its directory stands for a key. Stems and titles of
+    equal words are compared once.
     """
     stem = F.lower(F.translate("stem", "_-", "  "))
+    words = lambda name: F.array_sort(word_tokens(name))
     by_key = items.select(F.col("item_key").alias("directory"), F.lit(True).alias("known")).distinct()
     marked = files.join(by_key, "directory", "left")
-    left = marked.filter("known is null").select(F.col("file_id").alias("id"), F.lit("").alias("grp"), word_tokens(stem).alias("tokens"))
-    right = items.filter("title is not null").select(F.col("item_key").alias("id"), F.lit("").alias("grp"), word_tokens(F.lower("title")).alias("tokens"))
-    pairs = overlap_pairs(left, right, least / (1 + least)).select(F.col("id1").alias("file_id"), F.col("id2").alias("item_key"))
-    first = pairs.join(items.select("item_key", "place"), "item_key").groupBy("file_id").agg(F.min_by("item_key", "place").alias("like"))
-    rows = marked.join(first, "file_id", "left")
+    marked = marked.withColumn("words", F.when(F.col("known").isNull(), words(stem)))
+    titles = items.filter("title is not null").groupBy(words(F.lower("title")).alias("words")).agg(F.min(F.struct("place", "item_key")).alias("item"))
+    side = lambda df: df.select(F.col("words").alias("id"), F.lit("").alias("grp"), F.col("words").alias("tokens"))
+    pairs = overlap_pairs(side(marked.filter("words is not null").select("words").distinct()), side(titles), least / (1 + least)).withColumnRenamed("id1", "stem_words")
+    first = pairs.join(titles, F.col("id2") == F.col("words")).groupBy(F.col("stem_words").alias("words")).agg(F.min("item").alias("item"))
+    rows = marked.join(first, "words", "left").withColumn("like", F.col("item.item_key"))
     how = F.when(F.col("known"), "directory").when(F.col("like").isNotNull(), "title").otherwise("none")
     return rows.select("file_id", "directory", F.when(F.col("known"), F.col("directory")).otherwise(F.coalesce("like", "directory")).alias("item_key"), how.alias("matched_by"))
 
@@ -278,6 +286,40 @@ def cosine_pairs(vectors: DataFrame, least: float, keys: list[str] = (), id_col:
     return pairs.filter("a <> b and (not own or a < b)").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), F.least(F.lit(1.0), "similarity").alias("similarity"))
 
 
+def cosine_pairs_in_blocks(vectors: DataFrame, least: float, keys: list[str] = (), id_col: str = "id") -> DataFrame:
+    """All pairs (id1, id2, similarity) of vectors (id, embedding) of equal length and equal ``keys`` whose cosine is at least ``least``, id1 < id2, copies among them.
+
+    For thresholds at which pivots keep nothing apart. Each vector meets those of its own
+    block and of every other one; a group has at most BLOCKS blocks until these would pass
+    MOST_BLOCK vectors, so what is shuffled grows with the vectors. Null keys match nothing.
+    """
+    keys = list(keys)
+    group = [*keys, "size"]
+    units = unit_vectors(vectors, keys, id_col).filter(" and ".join(f"`{k}` is not null" for k in keys) or "true")
+    blocks = F.greatest(F.ceil(F.count("*") / MOST_BLOCK), F.least(F.lit(BLOCKS), F.ceil(F.count("*") / VECTOR_BLOCK))).cast("int")
+    dealt = units.join(units.groupBy(*group).agg(blocks.alias("blocks")), group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*group, "id", "unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    id_type = dealt.schema["id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        own, i, j = t.column("own").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        unit = np.concatenate([np.asarray(c.flatten()) for c in t.column("unit").chunks]).reshape(t.num_rows, -1)
+        a, b, ids = np.flatnonzero(own == i), np.flatnonzero(own == j), t.column("id").combine_chunks()
+        for x in range(0, len(a), VECTOR_BLOCK):
+            for y in range(x if i == j else 0, len(b), VECTOR_BLOCK):
+                left, right = a[x : x + VECTOR_BLOCK], b[y : y + VECTOR_BLOCK]
+                near = unit[left] @ unit[right].T
+                if i == j and x == y:
+                    near[np.tril_indices(len(left))] = -2
+                p, q = np.nonzero(near >= least)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(left[p])), ids.take(pa.array(right[q])), pa.array(near[p, q])], ["a", "b", "similarity"])
+
+    pairs = dealt.groupBy(*group, "i", "j").applyInArrow(compare, f"a {id_type}, b {id_type}, similarity double")
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), F.least(F.lit(1.0), "similarity").alias("similarity"))
+
+
 def vector_classes(vectors: DataFrame, keys: list[str] = (), id_col: str = "id") -> DataFrame:
     """Membership of vectors of one direction: (id, rep), rep the smallest id of those with equal unit vectors and ``keys``."""
     units = unit_vectors(vectors, list(keys), id_col)
