@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import graph as G
 from ..operators import relational as R
+from ..operators import similarity as L
 from .views import SQL, Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,10 +300,8 @@ def s5_levenshtein(g):
 
 @query(f"SELECT a.vec_id AS v1, b.vec_id AS v2, round({COSINE}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND {COSINE} >= 0.3", views=False)
 def c12_semantic_relationships(g):
-    e = g.table("embeddings")
-    a, b = (e.select("label", F.col("vec_id").alias(f"v{i}"), F.col("embedding").alias(f"e{i}")) for i in (1, 2))
-    pairs = a.join(b, "label").filter("v1 < v2").withColumn("_s", S.cosine_similarity(F.col("e1"), F.col("e2")))
-    return pairs.filter("_s >= 0.3").select("v1", "v2", F.round("_s", 6).alias("similarity"))
+    pairs = L.cosine_pairs_in_blocks(g.table("embeddings"), 0.3, ["label"], "vec_id")
+    return pairs.select(F.col("id1").alias("v1"), F.col("id2").alias("v2"), F.round("similarity", 6).alias("similarity"))
 
 
 HOP_SQL = """

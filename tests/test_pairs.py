@@ -42,3 +42,16 @@ def test_duplicate_names_are_compared_once(spark, compared, monkeypatch):
     want = {(x[0], y[0]): like[x[1], y[1]] for x, y in combinations(rows, 2) if x[2] and x[2] == y[2] and like.get((x[1], y[1]), 0) >= 0.7}
     assert {(r["id1"], r["id2"]): r["similarity"] for r in got.collect()} == want and len(set(want.values())) > 1
     assert got.count() == len(want) and compared == [[8]]
+
+
+def test_cosines_in_blocks_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "VECTOR_BLOCK", 5)
+    monkeypatch.setattr(similarity, "MOST_BLOCK", 13)
+    rng = random.Random(4)
+    rows = [(i, i % 2 or None, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(150)] + [(200, 1, None), (201, 1, [1.0, None, 1.0]), (202, 1, [1.0, 2.0])]
+    got = similarity.cosine_pairs_in_blocks(spark.createDataFrame(rows, "id int, label int, embedding array<float>"), 0.3, ["label"]).collect()
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    fine = [r for r in rows if r[1] and r[2] and None not in r[2] and norm(r[2])]
+    want = {(a[0], b[0]): s for a, b in combinations(fine, 2) if len(a[2]) == len(b[2]) and (s := sum(x * y for x, y in zip(a[2], b[2], strict=True)) / norm(a[2]) / norm(b[2])) >= 0.3}
+    assert len(got) == len(want) > 500
+    assert {(r["id1"], r["id2"]): r["similarity"] for r in got} == pytest.approx(want)
