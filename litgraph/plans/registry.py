@@ -113,10 +113,8 @@ def c9_paper_coverage(g):
 
 @query("WITH m AS (SELECT c.id, c.name, p.paper_id FROM concepts c JOIN paper_concepts p ON p.concept_id = c.id WHERE c.source = 'ECONOMY' OR c.n % 50 = 0) SELECT DISTINCT a.id AS source_id, b.id AS target_id, 'SAME_AS' AS relationship_type FROM m a JOIN m b ON a.name = b.name AND a.id < b.id AND a.paper_id <> b.paper_id".replace(" WHERE c.source = 'ECONOMY' OR c.n % 50 = 0", ""))
 def c13_cross_paper_links(g):
-    # papers only matter as "another one": one or two of each entity decide
-    m = g.concepts.join(g.paper_concepts.withColumnRenamed("concept_id", "id"), "id").groupBy("id", "name").agg(F.min("paper_id").alias("lo"), F.max("paper_id").alias("hi"))
-    m = m.select("id", "name", F.lit("Concept").alias("entity_type"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("paper_id"))
-    return R.cross_paper_links(m)
+    m = g.concepts.join(g.paper_concepts.withColumnRenamed("concept_id", "id"), "id")
+    return R.cross_paper_links(m.select("id", "name", F.lit("Concept").alias("entity_type"), "paper_id"))
 
 
 @query("WITH a AS (SELECT DISTINCT lower(name) AS name FROM concepts WHERE n % 2 = 0), b AS (SELECT DISTINCT lower(name) AS name FROM concepts WHERE n % 2 = 1) SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'only_a' WHEN a.name IS NULL THEN 'only_b' ELSE 'common' END AS where_found FROM a FULL JOIN b ON a.name = b.name")

@@ -55,3 +55,14 @@ def test_cosines_in_blocks_are_all_pairs(spark, monkeypatch):
     want = {(a[0], b[0]): s for a, b in combinations(fine, 2) if len(a[2]) == len(b[2]) and (s := sum(x * y for x, y in zip(a[2], b[2], strict=True)) / norm(a[2]) / norm(b[2])) >= 0.3}
     assert len(got) == len(want) > 500
     assert {(r["id1"], r["id2"]): r["similarity"] for r in got} == pytest.approx(want)
+
+
+def test_links_between_papers_need_no_shuffle_of_pairs(spark):
+    rng = random.Random(2)
+    rows = [(f"e{i % 40}", rng.choice([None, "T"]) if i % 9 == 0 else "T", f"n{i % 40 % 3}", rng.choice([None, "p1", "p1", "p2"])) for i in range(70)] + [("e0", "T", "n9", "p1"), ("e1", "T", "n9", "p2"), ("e0", "T", "n1", "p2")]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] and a[1] == b[1] and a[2] == b[2] and a[0] < b[0] and a[3] and b[3] and a[3] != b[3]}
+    schema = "id string, entity_type string, name string, paper_id string"
+    got = [tuple(r)[:2] for r in relational.cross_paper_links(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
+    plain = relational.cross_paper_links(spark.createDataFrame([r for r in rows if r[2] != "n9"][:40], schema))
+    assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
