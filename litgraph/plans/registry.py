@@ -135,9 +135,7 @@ def d3_underconnected_concepts(g):
 
 @query("WITH s AS (SELECT a.paper_id, b.paper_id AS other, count(DISTINCT a.concept_id) AS shared FROM paper_concepts a JOIN paper_concepts b ON a.concept_id = b.concept_id AND a.paper_id <> b.paper_id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY shared DESC, other) AS place FROM s) SELECT paper_id, other, shared FROM r WHERE place <= 3")
 def d5_similar_papers(g):
-    a, b = g.paper_concepts, g.paper_concepts.withColumnRenamed("paper_id", "other")
-    shared = a.join(b, "concept_id").filter("paper_id <> other").groupBy("paper_id", "other").agg(F.count("*").alias("shared"))
-    return R.top_by(shared, ["paper_id"], [F.desc("shared"), F.col("other")], 3)
+    return R.similar_by_shared(g.paper_concepts, 3)
 
 
 @query("SELECT a.concept_id AS a, b.concept_id AS b, count(*) AS n_papers, round(least(1.0, count(*) / 10.0), 6) AS confidence, array_to_string(list_sort(list(a.paper_id))[1:10], ',') AS papers FROM paper_concepts a JOIN paper_concepts b ON a.paper_id = b.paper_id AND a.concept_id < b.concept_id GROUP BY 1, 2 HAVING count(*) >= 2")

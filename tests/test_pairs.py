@@ -66,3 +66,14 @@ def test_links_between_papers_need_no_shuffle_of_pairs(spark):
     assert len(got) == len(want) > 100 and set(got) == want
     plain = relational.cross_paper_links(spark.createDataFrame([r for r in rows if r[2] != "n9"][:40], schema))
     assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_similar_papers_by_shared_members(spark):
+    rng = random.Random(8)
+    mentions = sorted({(f"P{rng.randrange(60)}", f"C{min(rng.randrange(30), rng.randrange(30))}") for _ in range(260)} | {(f"Q{i}", "hub") for i in range(200)})
+    got = relational.similar_by_shared(spark.createDataFrame(mentions, "paper_id string, concept_id string"), 3)
+    held = defaultdict(set)
+    for p, c in mentions:
+        held[p].add(c)
+    order = lambda p: sorted((-len(held[p] & held[o]), o) for o in held if o != p and held[p] & held[o])[:3]
+    assert sorted(map(tuple, got.select("paper_id", "other", "shared").collect())) == sorted((p, o, -n) for p in held for n, o in order(p))
