@@ -289,9 +289,9 @@ def s6_normalize_doi(g):
 
 @query("SELECT a.p_partkey AS p1, b.p_partkey AS p2, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey", views=False)
 def s5_levenshtein(g):
-    p = g.table("part")
-    a, b = (p.select("p_brand", "p_size", F.col("p_partkey").alias(f"p{i}"), F.col("p_name").alias(f"n{i}")) for i in (1, 2))
-    return a.join(b, ["p_brand", "p_size"]).filter("p1 < p2").select("p1", "p2", F.levenshtein("n1", "n2").alias("distance"))
+    p = g.table("part").filter("p_brand is not null and p_size is not null")
+    pairs = R.member_pairs(p.select(F.col("p_partkey").alias("id"), F.struct("p_brand", "p_size").alias("key"), F.col("p_name").alias("name")))
+    return pairs.select(F.col("id1").alias("p1"), F.col("id2").alias("p2"), F.levenshtein("name1", "name2").alias("distance"))
 
 
 @query(f"SELECT a.vec_id AS v1, b.vec_id AS v2, round({COSINE}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND {COSINE} >= 0.3", views=False)

@@ -57,15 +57,15 @@ def test_cosines_in_blocks_are_all_pairs(spark, monkeypatch):
     assert {(r["id1"], r["id2"]): r["similarity"] for r in got} == pytest.approx(want)
 
 
-def test_links_between_papers_need_no_shuffle_of_pairs(spark):
-    rng = random.Random(2)
-    rows = [(f"e{i % 40}", rng.choice([None, "T"]) if i % 9 == 0 else "T", f"n{i % 40 % 3}", rng.choice([None, "p1", "p1", "p2"])) for i in range(70)] + [("e0", "T", "n9", "p1"), ("e1", "T", "n9", "p2"), ("e0", "T", "n1", "p2")]
-    want = {(a[0], b[0]) for a in rows for b in rows if a[1] and a[1] == b[1] and a[2] == b[2] and a[0] < b[0] and a[3] and b[3] and a[3] != b[3]}
-    schema = "id string, entity_type string, name string, paper_id string"
-    got = [tuple(r)[:2] for r in relational.cross_paper_links(spark.createDataFrame(rows, schema)).collect()]
-    assert len(got) == len(want) > 100 and set(got) == want
-    plain = relational.cross_paper_links(spark.createDataFrame([r for r in rows if r[2] != "n9"][:40], schema))
-    assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+def test_pairs_of_a_key_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(relational, "PAIR_BLOCK", 6)
+    monkeypatch.setattr(relational, "TASK_PAIRS", 500)
+    rows = [(i, "hot" if i < 80 else f"k{i % 5}", f"n{i}") for i in range(120)] + [(500, None, "x"), (None, "hot", "x")]
+    got = relational.member_pairs(spark.createDataFrame(rows, "id int, key string, name string"))
+    want = [(a[0], b[0], a[2], b[2]) for a, b in combinations(rows[:120], 2) if a[1] == b[1]]
+    assert sorted(map(tuple, got.select("id1", "id2", "name1", "name2").collect())) == sorted(want)
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 8 and max(r["count"] for r in tasks) < len(want) / 3
 
 
 def test_similar_papers_by_shared_members(spark):
@@ -77,3 +77,14 @@ def test_similar_papers_by_shared_members(spark):
         held[p].add(c)
     order = lambda p: sorted((-len(held[p] & held[o]), o) for o in held if o != p and held[p] & held[o])[:3]
     assert sorted(map(tuple, got.select("paper_id", "other", "shared").collect())) == sorted((p, o, -n) for p in held for n, o in order(p))
+
+
+def test_links_between_papers_need_no_shuffle_of_pairs(spark):
+    rng = random.Random(2)
+    rows = [(f"e{i % 40}", rng.choice([None, "T"]) if i % 9 == 0 else "T", f"n{i % 40 % 3}", rng.choice([None, "p1", "p1", "p2"])) for i in range(70)] + [("e0", "T", "n9", "p1"), ("e1", "T", "n9", "p2"), ("e0", "T", "n1", "p2")]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] and a[1] == b[1] and a[2] == b[2] and a[0] < b[0] and a[3] and b[3] and a[3] != b[3]}
+    schema = "id string, entity_type string, name string, paper_id string"
+    got = [tuple(r)[:2] for r in relational.cross_paper_links(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
+    plain = relational.cross_paper_links(spark.createDataFrame([r for r in rows if r[2] != "n9"][:40], schema))
+    assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
