@@ -25,6 +25,8 @@ KEY_BLOCK = 4_096
 PIVOTS, VECTOR_BLOCK = 64, 2_048
 #: Blocks of vectors of a group where all are compared, unless a block would pass so many vectors.
 BLOCKS, MOST_BLOCK = 12, 65_536
+#: Least cosine for which pivots may keep vectors apart: twice its angle is a right angle and a third.
+WIDE = 0.5
 
 
 def word_tokens(name: Column) -> Column:
@@ -235,11 +237,14 @@ def cosine_pairs(vectors: DataFrame, least: float, keys: list[str] = (), id_col:
     two are at most t apart and belong to p and q, the first is at most 2 t farther from q
     than from p: it visits all such pivots before its own, and meets their vectors there in
     blocks. How many are visited follows from the data; no pair is missed whatever they are.
+    Under WIDE all would be visited, so vectors meet in blocks without pivots.
     """
     keys, angle = list(keys), math.acos(max(-1.0, min(1.0, least)))
     units = unit_vectors(vectors, keys, id_col)
     one = units.groupBy(*keys, "size", "unit").agg(F.min("id").alias("id"))
     one = durable(one)
+    if least < WIDE:
+        return unit_pairs_in_blocks(one.select("id", *keys, "size", "unit"), least, keys)
     heads = {}
     for r in one.select("size").distinct().collect():  # lengths of vectors, one or a few
         some = one.filter(F.col("size") == r["size"]).orderBy(F.xxhash64("id"), "id").limit(pivots)
@@ -291,13 +296,18 @@ def cosine_pairs_in_blocks(vectors: DataFrame, least: float, keys: list[str] = (
 
     For thresholds at which pivots keep nothing apart. Each vector meets those of its own
     block and of every other one; a group has at most BLOCKS blocks until these would pass
-    MOST_BLOCK vectors, so what is shuffled grows with the vectors. Null keys match nothing.
+    MOST_BLOCK vectors, so what is shuffled grows with the vectors. Null keys are equal.
     """
     keys = list(keys)
+    return unit_pairs_in_blocks(unit_vectors(vectors, keys, id_col), least, keys)
+
+
+def unit_pairs_in_blocks(units: DataFrame, least: float, keys: list[str]) -> DataFrame:
+    """``cosine_pairs_in_blocks`` of ``unit_vectors``."""
     group = [*keys, "size"]
-    units = unit_vectors(vectors, keys, id_col).filter(" and ".join(f"`{k}` is not null" for k in keys) or "true")
     blocks = F.greatest(F.ceil(F.count("*") / MOST_BLOCK), F.least(F.lit(BLOCKS), F.ceil(F.count("*") / VECTOR_BLOCK))).cast("int")
-    dealt = units.join(units.groupBy(*group).agg(blocks.alias("blocks")), group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    counts = units.groupBy(*group).agg(blocks.alias("blocks"))
+    dealt = units.alias("u").join(counts.alias("c"), [F.col(f"u.{c}").eqNullSafe(F.col(f"c.{c}")) for c in group]).select("u.*", "blocks").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(*group, "id", "unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     id_type = dealt.schema["id"].dataType.simpleString()

@@ -296,7 +296,7 @@ def s5_levenshtein(g):
 
 @query(f"SELECT a.vec_id AS v1, b.vec_id AS v2, round({COSINE}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND {COSINE} >= 0.3", views=False)
 def c12_semantic_relationships(g):
-    pairs = L.cosine_pairs_in_blocks(g.table("embeddings"), 0.3, ["label"], "vec_id")
+    pairs = L.cosine_pairs_in_blocks(g.table("embeddings").filter("label is not null"), 0.3, ["label"], "vec_id")
     return pairs.select(F.col("id1").alias("v1"), F.col("id2").alias("v2"), F.round("similarity", 6).alias("similarity"))
 
 

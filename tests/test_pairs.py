@@ -49,7 +49,7 @@ def test_cosines_in_blocks_are_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "MOST_BLOCK", 13)
     rng = random.Random(4)
     rows = [(i, i % 2 or None, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(150)] + [(200, 1, None), (201, 1, [1.0, None, 1.0]), (202, 1, [1.0, 2.0])]
-    got = similarity.cosine_pairs_in_blocks(spark.createDataFrame(rows, "id int, label int, embedding array<float>"), 0.3, ["label"]).collect()
+    got = similarity.cosine_pairs_in_blocks(spark.createDataFrame(rows, "id int, label int, embedding array<float>").filter("label is not null"), 0.3, ["label"]).collect()
     norm = lambda v: sum(x * x for x in v) ** 0.5
     fine = [r for r in rows if r[1] and r[2] and None not in r[2] and norm(r[2])]
     want = {(a[0], b[0]): s for a, b in combinations(fine, 2) if len(a[2]) == len(b[2]) and (s := sum(x * y for x, y in zip(a[2], b[2], strict=True)) / norm(a[2]) / norm(b[2])) >= 0.3}
@@ -88,3 +88,16 @@ def test_links_between_papers_need_no_shuffle_of_pairs(spark):
     assert len(got) == len(want) > 100 and set(got) == want
     plain = relational.cross_paper_links(spark.createDataFrame([r for r in rows if r[2] != "n9"][:40], schema))
     assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_wide_cosines_visit_no_pivots(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "VECTOR_BLOCK", 5)
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, "x"]), [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, kind string, embedding array<float>")
+    in_blocks = {tuple(r)[:2]: r["similarity"] for r in similarity.cosine_pairs(df, 0.4, ["kind"]).collect()}
+    plan = similarity.cosine_pairs(df, 0.4, ["kind"])._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(similarity, "WIDE", 0.0)
+    by_pivots = {tuple(r)[:2]: r["similarity"] for r in similarity.cosine_pairs(df, 0.4, ["kind"]).collect()}
+    assert in_blocks == pytest.approx(by_pivots) and len(in_blocks) > 100
+    assert "pivot" not in plan
