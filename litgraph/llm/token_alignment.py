@@ -13,7 +13,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from .sentence_pieces import SPACE
 #: Stretches of text over whose borders no token of either vocabulary goes: white space and letters, or white
 #: space, other characters and the letters that follow; a space or a line end after such a character parts two.
 STRETCH = r"(?V1)\p{White_Space}*(?:\p{L}+|[^\p{L}\p{White_Space}]+(?:[\p{White_Space}--[ \n]]\p{White_Space}*[^\p{L}\p{White_Space}]*)*\p{L}*)|\p{White_Space}+"
-#: Distinct stretches that a Python worker remembers before it starts afresh.
+#: Distinct stretches that a Python worker remembers before it drops those met in one block only.
 MEMO = 200_000
 #: Pairs whose counts are broadcast at most (16 bytes each); rarer ones are joined.
 COMMON_PAIRS = 1 << 20
@@ -87,6 +87,19 @@ class Aligner:
         self.place: dict[str, int] = {}
         none = np.zeros(0, np.int64)
         self.known = Stretches([], none, none, none, np.zeros(0, bool), none, none)
+        #: In how many blocks each stretch was met.
+        self.met = np.zeros(0, np.int32)
+
+    def shrink(self) -> None:
+        """Keeps the stretches met in several blocks, which spares learning them again; starts afresh if they are too many."""
+        keep, k = self.met > 1, self.known
+        if 4 * np.count_nonzero(keep) > 3 * MEMO:
+            self.forget(self.with_text)
+            return
+        length = np.diff(k.ends, prepend=0)
+        self.place = {w: i for i, w in enumerate(compress(self.place, keep))}  # in the order of places
+        self.known = Stretches(list(compress(k.text, keep)), *(x[keep] for x in (k.n_a, k.n_b, k.n_groups, k.whole)), k.pairs[np.repeat(keep, length)], np.cumsum(length[keep]))
+        self.met = np.ones(len(self.place), np.int32)
 
     def learn(self, new: list[str]) -> None:
         """Aligns new distinct stretches, all of them at once: their tokens are laid end to end."""
@@ -126,7 +139,7 @@ class Aligner:
     def block(self, texts: list[str | None]) -> list[np.ndarray]:
         """Places of each text's stretches; texts that one side doesn't give back have none."""
         if len(self.place) > MEMO:
-            self.forget(self.with_text)
+            self.shrink()
         # a space stands before every text; B puts it there itself
         cut = [self.stretch.findall(" " + t) if t else [] for t in texts]
         new = {w for words in cut for w in words} - self.place.keys()
@@ -135,6 +148,10 @@ class Aligner:
                 self.learn(list(new))
         get = self.place.__getitem__
         found = [np.fromiter(map(get, words), np.int64, len(words)) for words in cut]
+        here = np.zeros(len(self.place), bool)
+        for at in found:
+            here[at] = True
+        self.met = np.concatenate([self.met, np.zeros(len(here) - len(self.met), np.int32)]) + here
         return [at if self.known.whole[at].all() else at[:0] for at in found]
 
     def occurrences(self, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +183,8 @@ def count_pairs(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = aligner(path_a, path_b)
-        c.forget(with_text=False)
+        if c.with_text:
+            c.forget(with_text=False)  # else the stretches of the task before are known
         same = np.zeros(c.size_a, np.int64)
         for batch in blocks(batches, "text"):
             _, pair, _ = c.occurrences(c.block(batch.column("text").to_pylist()))
@@ -177,7 +195,6 @@ def count_pairs(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text
             yield rows(other // c.size_b, other % c.size_b, n)
         seen = np.flatnonzero(same)
         yield rows(seen, c.same[seen], same[seen])
-        c.forget()
 
     def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
@@ -245,7 +262,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, given = aligner(path_a, path_b), shared.value
-        c.forget()
+        if not c.with_text:
+            c.forget()
         for batch in blocks(batches, "text"):
             at = c.block(batch.column("text").to_pylist())
             row, pair, times = c.occurrences(at)
@@ -260,7 +278,6 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
             sizes = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=len(at)))]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(x[rare].astype(t))) for x, t in ((pair, np.int64), (times, np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, sums), pa.array(groups, pa.string()), *lists], ["id", *columns, "groups", "rare", "times"])
-        c.forget()
 
     def exact(row: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(x)])

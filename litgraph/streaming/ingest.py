@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_surface
@@ -56,9 +56,12 @@ def ingest_stream(items: DataFrame, store: str, patterns: Callable[[SparkSession
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored_entities(spark: SparkSession, store: str) -> DataFrame:
-    """Entities of the whole log, resolved by type and surface form: (entity_type, canonical, name, confidence, alias_count, source_count, n_rows)."""
-    rows = read_log(spark, store, "mentions").withColumnRenamed("key", "source_id").withColumn("canonical", normalize_surface(F.col("name")))
+def stored_entities(spark: SparkSession, store: str, source: Column | None = None) -> DataFrame:
+    """Entities of the whole log, resolved by type and surface form: (entity_type, canonical, name, confidence, alias_count, source_count, n_rows).
+
+    Sources are items, or what ``source`` makes of their keys; nulls are none.
+    """
+    rows = read_log(spark, store, "mentions").withColumn("source_id", F.col("key") if source is None else source).drop("key").withColumn("canonical", normalize_surface(F.col("name")))
     return resolve_entities(rows)
 
 

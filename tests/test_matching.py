@@ -338,3 +338,28 @@ def test_ingest_finds_words_before_letters_of_other_scripts(spark, tmp_path):
     for i, rows in enumerate([[("a", "nation"), ("b", "nationé")], [("c", "nationж"), ("d", "nations")]]):
         ingest.ingest_batch(spark.createDataFrame(rows, "key string, text string"), i, store, rules)
     assert [r["source_count"] for r in ingest.stored_entities(spark, store).collect()] == [3]
+
+
+def test_ingest_counts_every_text_of_a_repeated_id(spark, con_of):
+    from litgraph.plans import registry
+
+    from .oracle import difference
+
+    rows = [(1, "b the 123"), (1, "a of"), (2, "nation"), (2, "nation"), (None, "and"), (3, None), (4, "")]
+    folder, con = con_of(rows)
+    name = "p5_incremental_graph_ingest"
+    assert difference(spark, con, registry.QUERIES[name], registry.ORACLE_SQL[name], folder) is None
+
+
+@pytest.fixture
+def con_of(spark, tmp_path):
+    """A folder with these documents, and DuckDB over it."""
+    import duckdb
+
+    def made(rows):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        return str(tmp_path), con
+
+    return made
