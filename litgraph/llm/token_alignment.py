@@ -103,10 +103,10 @@ class Aligner:
 
     def learn(self, new: list[str]) -> None:
         """Aligns new distinct stretches, all of them at once: their tokens are laid end to end."""
-        in_a = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
+        in_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]  # without offsets
         in_b = [ids[2:] for ids in self.b.encode(["\n" + w for w in new], num_threads=1)]
-        whole = np.array([b"".join(map(self.bytes_a.__getitem__, a)) == (raw := w.encode()) == b"".join(map(self.bytes_b.__getitem__, b)) for w, a, b in zip(new, in_a, in_b, strict=True)], bool)
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(new)) for x in (in_a, in_b))
+        whole = self.given_back([w.encode() for w in new], in_a, in_b, n_a, n_b)
         a, b = (np.fromiter(chain.from_iterable(x if ok else () for x, ok in zip(ids, whole, strict=True)), np.int64) for ids in (in_a, in_b))
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         # groups end where tokens of both end, and so do stretches
@@ -136,6 +136,19 @@ class Aligner:
         k.n_a, k.n_b, k.n_groups, k.whole = (np.concatenate([x, y]) for x, y in ((k.n_a, n_a), (k.n_b, n_b), (k.n_groups, n_groups), (k.whole, whole)))
         k.ends, k.pairs = np.concatenate([k.ends, ends + len(k.pairs)]), np.concatenate([k.pairs, pairs])
 
+    def given_back(self, raw: list[bytes], in_a: list[list[int]], in_b: list[list[int]], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Whether the tokens of both vocabularies give back the bytes of each stretch: all are compared at once where lengths agree, one by one only if some differ."""
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = np.ones(len(raw), bool)
+        for ids, n, length in ((in_a, n_a, self.length_a), (in_b, n_b, self.length_b)):
+            sums = np.concatenate([[0], np.cumsum(length[np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))])])
+            whole &= np.diff(sums[np.concatenate([[0], np.cumsum(n)])]) == size
+        for ids, of in ((in_a, self.bytes_a), (in_b, self.bytes_b)):
+            some = list(compress(ids, whole))
+            if b"".join(map(of.__getitem__, chain.from_iterable(some))) != b"".join(compress(raw, whole)):
+                whole[whole] = [b"".join(map(of.__getitem__, x)) == w for x, w in zip(some, compress(raw, whole), strict=True)]
+        return whole
+
     def block(self, texts: list[str | None]) -> list[np.ndarray]:
         """Places of each text's stretches; texts that one side doesn't give back have none."""
         if len(self.place) > MEMO:

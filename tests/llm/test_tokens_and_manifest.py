@@ -129,6 +129,19 @@ def test_alignment(spark, docs, library, most_common):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, align_plainly(rows, library)))
 
 
+def test_stretches_met_again_are_not_learned_again(monkeypatch):
+    monkeypatch.setattr(token_alignment, "MEMO", 8)
+    kept, learned = token_alignment.Aligner(A, B), []
+    learn = kept.learn
+    kept.learn = lambda new: (learned.extend(new), learn(new))
+    for texts in (["one two", "tḧree 4 \x00", None], ["one two five six seven eight nine"], ["two one zwölf", "<unk> ▁ a"], ["one ten"]):
+        fresh = token_alignment.Aligner(A, B)
+        got, want = ([x.block(texts), x] for x in (kept, fresh))
+        assert [[x.known.text[i] for i in at] for at, x in ((t, got[1]) for t in got[0])] == [[x.known.text[i] for i in at] for at, x in ((t, want[1]) for t in want[0])]
+        assert all(np.array_equal(x, y) for x, y in zip(kept.occurrences(got[0]), fresh.occurrences(want[0]), strict=True))
+    assert learned.count(" one") == learned.count(" two") == 1
+
+
 def test_alignment_of_nothing_and_text(spark):
     empty = spark.createDataFrame([], "doc_id string, text string")
     assert token_alignment.align(empty, A, B).collect() == []
