@@ -20,12 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, release
 
 #: Pre-tokens of byte-level BPE (fixed value of the vocabulary's format).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct pre-tokens that a Python worker remembers before it starts afresh.
 MEMO = 300_000
+#: Bytes of text whose pre-tokens are Python objects at a time.
+BLOCK_BYTES = 1 << 20
 NONE = np.int64(1) << 40
 
 
@@ -187,13 +189,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK_BYTES):
             ids = c.encode_block([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([c.decode(i) for i in ids], pa.string())],
                 ["id", "ids_le", "n_tokens", "decoded"],
             )
         c.memo.clear()  # the worker goes on to other work
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, ids_le binary, n_tokens long, decoded string").withColumnRenamed("id", id_col)

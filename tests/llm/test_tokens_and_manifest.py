@@ -233,3 +233,17 @@ def test_stored_blocks_prove_alone(spark):
 
 def test_manifest_sql(spark, sf):
     assert difference(spark, connect(sf), QUERIES["op13_merkle_manifest"], ORACLE_SQL["op13_merkle_manifest"], sf) is None
+
+
+def test_bpe_blocks_are_small_and_memory_is_given_back(spark, monkeypatch):
+    """A worker holds the pre-tokens of one block, and blocks that are used up give memory back."""
+    import pyarrow as pa
+
+    from litgraph.llm import bpe, common
+
+    seen = []
+    monkeypatch.setattr(common, "release", lambda: seen.append("released"))
+    texts = pa.record_batch({"text": ["a b " * 100_000] * 4})
+    for batch in common.blocks(iter([texts]), "text", bpe.BLOCK_BYTES):
+        seen.append(batch.num_rows)
+    assert seen == [2, 2, "released"]
