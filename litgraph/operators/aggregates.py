@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .relational import spread
+
 
 def pairs_per_paper(mentions: DataFrame, member: str) -> DataFrame:
     """Unordered pairs of members of each paper: (paper_id, a, b)."""
-    a, b = mentions.select("paper_id", F.col(member).alias("a")), mentions.select("paper_id", F.col(member).alias("b"))
+    dealt = spread(mentions.select("paper_id", member), "paper_id")
+    a, b = dealt.select("paper_id", F.col(member).alias("a")), dealt.select("paper_id", F.col(member).alias("b"))
     return a.join(b, "paper_id").filter("a < b")
 
 
@@ -24,7 +27,7 @@ def cooccurrence(mentions: DataFrame, member: str, least: int = 2, scale: float
 
 def cross_relationships(left: DataFrame, right: DataFrame, least: int, scale: float, kind: str) -> DataFrame:
     """(source, target) pairs met in at least ``least`` papers; inputs hold (paper_id, source_id) and (paper_id, target_id)."""
-    rows = left.join(right, "paper_id").groupBy("source_id", "target_id").agg(F.count("*").alias("n_papers")).filter(F.col("n_papers") >= least)
+    rows = spread(left, "paper_id").join(spread(right, "paper_id"), "paper_id").groupBy("source_id", "target_id").agg(F.count("*").alias("n_papers")).filter(F.col("n_papers") >= least)
     return rows.select("source_id", "target_id", F.lit(kind).alias("relationship_type"), F.round(F.least(F.lit(1.0), F.col("n_papers") / scale), 6).alias("confidence"))
 
 
