@@ -158,7 +158,7 @@ def cluster_pairs(edges: DataFrame, membership: DataFrame) -> DataFrame:
 
 def detect_gaps(edges: DataFrame, membership: DataFrame, least: int = 3, most: int = 10) -> DataFrame:
     """Weakly connected cluster pairs, weakest first: under min(0.3, p25 + 0.1), at least ``least``, at most ``most``."""
-    rows = cluster_pairs(edges, membership)
+    rows = durable(cluster_pairs(edges, membership))  # few, and read twice
     cut = rows.agg(F.least(F.lit(0.3), F.percentile("strength", 0.25) + 0.1).alias("cut"))
     ranked = rows.crossJoin(F.broadcast(cut)).withColumn("place", F.row_number().over(Window.orderBy("strength", "a", "b")))
     return ranked.filter(((F.col("strength") < F.col("cut")) | (F.col("place") <= least)) & (F.col("place") <= most)).select("a", "b", "n_edges", F.round("strength", 9).alias("gap_strength"), "place")

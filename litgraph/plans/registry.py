@@ -330,8 +330,12 @@ def h8_pagerank_fixed(g):
 CO = "co AS (SELECT a.concept_id AS a, b.concept_id AS b, count(*) AS w FROM paper_concepts a JOIN paper_concepts b ON a.paper_id = b.paper_id AND a.concept_id < b.concept_id GROUP BY 1, 2)"
 
 
-def co_edges(g, least: int = 1) -> DataFrame:
-    rows = A.pairs_per_paper(g.paper_concepts, "concept_id").groupBy("a", "b").agg(F.count("*").cast("double").alias("weight")).filter(F.col("weight") >= least)
+def co_edges(g, least: int = 1, among: DataFrame | None = None) -> DataFrame:
+    """Pairs of concepts of a paper, ``among`` those with these ids if given: others are left out before they are paired."""
+    used = g.paper_concepts
+    if among is not None:
+        used = used.join(among.select(F.col("id").alias("concept_id")), "concept_id", "left_semi")
+    rows = A.pairs_per_paper(used, "concept_id").groupBy("a", "b").agg(F.count("*").cast("double").alias("weight")).filter(F.col("weight") >= least)
     return rows.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("CO_OCCURS_WITH").alias("relationship_type"), "weight")
 
 

@@ -112,7 +112,8 @@ def summary(g) -> Y.ProjectSummary:
     """Concepts were first and last seen in the years of their papers."""
     seen = g.paper_concepts.join(g.papers.select("paper_id", "year"), "paper_id").groupBy(F.col("concept_id").alias("id")).agg(F.min("year").alias("f"), F.max("year").alias("l"))
     dated = g.entities.select("id", "name", "entity_type", "year").join(seen, "id", "left").select("id", "name", "entity_type", F.coalesce("year", "f").alias("first_year"), F.coalesce("year", "l").alias("last_year"))
-    return Y.project_summary(g.papers, dated, g.relationships, g.concepts.filter("cluster_id is not null"), co_edges(g), shares_of_papers(g), 5)
+    members = g.concepts.filter("cluster_id is not null")
+    return Y.project_summary(g.papers, dated, g.relationships, members, co_edges(g), shares_of_papers(g), 5, inner=co_edges(g, among=members))
 
 
 @query("SELECT (SELECT count(*) FROM papers) AS n_papers, (SELECT count(*) FROM entities) AS n_entities, (SELECT count(*) FROM relationships) AS n_relationships, (SELECT round(count(DISTINCT entity_type) / 8, 6) FROM entities WHERE entity_type IN ('Concept', 'Method')) AS type_diversity")
@@ -170,7 +171,7 @@ def n6_emerging(g):
 
 def answer(g) -> Y.GapAnswer:
     members = g.concepts.filter("cluster_id is not null")
-    gaps = G.detect_gaps(co_edges(g), members.select("id", "cluster_id")).withColumnRenamed("place", "gap_id")
+    gaps = lambda: G.detect_gaps(co_edges(g, among=members), members.select("id", "cluster_id")).withColumnRenamed("place", "gap_id")
     return Y.gap_answer(gaps, members, g.entities.select("id", "name", "entity_type"), g.relationships, 0.6, 25)
 
 

@@ -154,3 +154,30 @@ def test_edges_with_shared_papers(spark):
     got = [tuple(r) for r in R.edges_with_shared_papers(nodes, edges, mentions, 3).collect()]
     assert sorted(got) == [("a", "b", "CO_OCCURS_WITH", 2.0, 2), ("a", "c", "USES", 1.0, None), ("b", "c", "CO_OCCURS_WITH", 1.0, 1)]
     assert len(R.edges_with_shared_papers(nodes, edges, mentions, 1).collect()) == 1
+
+
+def test_parts_are_computed_only_when_asked_for(spark):
+    nodes = spark.createDataFrame([("c1", "a", "Concept"), ("m1", "b", "Method")], "id string, name string, entity_type string")
+    edges = spark.createDataFrame([("c1", "m1", "USES_METHOD", 1.0)], "source_id string, target_id string, relationship_type string, weight double")
+
+    def never():
+        raise AssertionError("gaps are not asked for")
+
+    assert [r["id"] for r in Y.gap_answer(never, nodes, nodes, edges).methods.collect()] == ["m1"]
+
+
+def test_incident_edges_are_read_once(spark):
+    from litgraph.operators.relational import incident_edges
+
+    edges = spark.createDataFrame([("a", "b", "t", 1.0), ("a", "a", "t", 2.0), (None, "c", "t", 3.0)], "source_id string, target_id string, relationship_type string, weight double")
+    got = incident_edges(edges)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("a", "b", "t", 1.0), ("b", "a", "t", 1.0), ("a", "a", "t", 2.0), (None, "c", "t", 3.0)]))
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_papers_take_all_partitions(spark):
+    from litgraph.operators import aggregates as A
+
+    rows = spark.createDataFrame([("p", "a"), ("p", "b")], "paper_id string, concept_id string")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert A.pairs_per_paper(rows, "concept_id").rdd.getNumPartitions() == n
