@@ -101,7 +101,8 @@ def top_percent(rows: DataFrame, score: str, percent: float) -> DataFrame:
     partition plus the sizes of those before, so no window gathers all rows in one task. The
     sorted rows are checkpointed: their partitions must be the same each time they are read.
     """
-    ordered = rows.select("id", score).orderBy(F.desc(score), "id").withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    rows = durable(rows.select("id", score))  # read to sample the ranges, to sort and to count
+    ordered = rows.orderBy(F.desc(score), "id").withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
     ordered = durable(ordered)
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -111,10 +112,14 @@ def top_percent(rows: DataFrame, score: str, percent: float) -> DataFrame:
 
 
 def graph_snapshot(nodes: DataFrame, edges: DataFrame, year: int) -> DataFrame:
-    """Edges whose ends both exist by ``year`` with the opacity of the source, which fades after five years, to 0.3."""
+    """Edges whose ends both exist by ``year`` with the opacity of the source, which fades after five years, to 0.3.
+
+    Targets go first: ends that have no year are mostly targets, and their edges are not shuffled again.
+    """
     age = F.lit(year) - F.col("year")
     seen = nodes.filter(F.col("year") <= year).select("id", F.when(age > 5, F.greatest(F.lit(0.3), 1 - 0.1 * (age - 5))).otherwise(1.0).alias("opacity"))
-    return edges.join(seen.withColumnRenamed("id", "source_id"), "source_id").join(seen.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    left = edges.join(seen.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    return left.join(seen.withColumnRenamed("id", "source_id"), "source_id").select(*edges.columns, "opacity")
 
 
 def hybrid_merge(vector: DataFrame, traversal: DataFrame) -> DataFrame:

@@ -181,3 +181,23 @@ def test_pairs_of_papers_take_all_partitions(spark):
     rows = spark.createDataFrame([("p", "a"), ("p", "b")], "paper_id string, concept_id string")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert A.pairs_per_paper(rows, "concept_id").rdd.getNumPartitions() == n
+
+
+def test_top_percent_and_snapshot_read_their_rows_once(spark):
+    from litgraph.operators import overview as V
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            read.add(1)
+            yield r
+
+    rows = spark.createDataFrame([(str(i), i % 5) for i in range(10)], "id string, score int")
+    counted = spark.createDataFrame(rows.rdd.mapPartitions(count), rows.schema)
+    assert sorted(r["id"] for r in V.top_percent(counted, "score", 0.25).collect()) == ["3", "4", "9"]
+    assert read.value == 10
+    nodes = spark.createDataFrame([("a", 1990), ("b", 2000), ("m", None)], "id string, year int")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "m")], "source_id string, target_id string")
+    got = V.graph_snapshot(nodes, edges, 2000).collect()
+    assert sorted((r["source_id"], r["target_id"], round(r["opacity"], 6)) for r in got) == [("a", "b", 0.5), ("b", "a", 1.0)]
