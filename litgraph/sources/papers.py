@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +59,26 @@ def abstract_from_inverted_index(index: Column) -> Column:
 
 
 def inverted_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, index map of word to sorted positions); words are what single spaces part, empty ones are left out."""
-    words = docs.select(id_col, F.posexplode(F.split(text_col, " ")).alias("p", "w")).filter("w <> ''")
-    places = words.groupBy(id_col, "w").agg(F.sort_array(F.collect_list("p")).alias("places"))
-    return places.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "places"))).alias("index"))
+    """(id, index map of word to sorted positions) of each row with words, which are what single spaces part; empty ones are left out.
+
+    A text's words stand in its row, so nothing is shuffled. Rows that share an id stay apart.
+    """
+
+    @F.arrow_udf("array<struct<w:string,places:array<int>>>")
+    def entries(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("w", pa.string()), ("places", pa.list_(pa.int32()))]))
+
+        def index(text: str | None) -> list[dict]:
+            places: dict[str, list[int]] = {}
+            for i, w in enumerate((text or "").split(" ")):
+                if w:
+                    places.setdefault(w, []).append(i)
+            return [{"w": w, "places": p} for w, p in places.items()]
+
+        # few texts at a time are Python objects
+        return pa.concat_arrays([pa.array([index(t) for t in texts.slice(i, 64).to_pylist()], kind) for i in range(0, len(texts), 64)] or [pa.array([], kind)])
+
+    return docs.select(id_col, entries(text_col).alias("e")).filter(F.size("e") > 0).select(id_col, F.map_from_entries("e").alias("index"))
 
 
 def upsert_entities(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -363,3 +363,12 @@ def con_of(spark, tmp_path):
         return str(tmp_path), con
 
     return made
+
+
+def test_inverted_index_is_made_in_its_row(spark):
+    from litgraph.sources import papers
+
+    docs = spark.createDataFrame([(1, " b a  b"), (1, "c"), (2, " "), (3, None)], "doc_id long, text string")
+    got = papers.inverted_index(docs)
+    assert sorted((r["doc_id"], sorted(r["index"].items())) for r in got.collect()) == [(1, [("a", [2]), ("b", [1, 4])]), (1, [("c", [0])])]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
