@@ -28,15 +28,15 @@ def table_type(headers: Column) -> Column:
 def column_type(header: Column) -> Column:
     """model, dataset, metric, score or other."""
     h = F.lower(F.trim(header))
-    tokens = F.split(h, r"[\s_\-/]+")
-    holds = lambda words: F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
+    between = r"[\s_\-/]"
+    holds = lambda words: h.rlike(rf"(?:^|{between})(?:{'|'.join(words)})(?:\z|{between})")
     return F.when(holds(MODEL), "model").when(holds(DATASET), "dataset").when(holds(METRIC), "metric").when(holds(SCORE) | h.rlike(r"^[a-z]+[-@\d]"), "score").otherwise("other")
 
 
 def parse_score(text: Column) -> Column:
     """The number of a cell such as ``91.5``, ``0.856`` or ``91.5%``, without signs and footnote marks; else null."""
     clean = F.trim(F.regexp_replace(text, "[+*†‡§¶±-]", ""))
-    return F.nullif(F.regexp_extract(clean, r"^(\d+\.?\d*)\s*%?$", 1), F.lit("")).try_cast("double")
+    return F.regexp_extract(clean, r"^(\d+\.?\d*)\s*%?$", 1).try_cast("double")
 
 
 def caption_dataset(caption: Column) -> Column:
@@ -53,15 +53,18 @@ def table_results(tables: DataFrame, rows: DataFrame) -> DataFrame:
     score column that is a number is an edge to the dataset in the row's first filled column
     of datasets, else to one that the caption names, else to ``unknown_dataset``.
     """
-    typed = tables.withColumn("types", F.transform("headers", column_type)).withColumn("kind", table_type(F.col("headers"))).filter("kind in ('sota_comparison', 'results')")
-    places = lambda kind: F.filter(F.transform("types", lambda t, i: F.when(t == kind, i)), lambda i: i.isNotNull())
-    typed = typed.select("table_id", "headers", caption_dataset(F.col("caption")).alias("named"), F.get(places("model"), F.lit(0)).alias("model"), places("dataset").alias("datasets"), places("score").alias("scores")).filter("model is not null")
+    # generators, so that filters on what they give are not computed again for each row below
+    types = F.struct(F.transform("headers", column_type).alias("types"), table_type(F.col("headers")).alias("kind"))
+    typed = tables.select("table_id", "headers", "caption", F.explode(F.array(types)).alias("t")).filter("t.kind in ('sota_comparison', 'results')")
+    places = lambda kind: F.filter(F.transform("t.types", lambda t, i: F.when(t == kind, i)), lambda i: i.isNotNull())
+    model = F.array_position("t.types", "model").cast("int") - 1
+    typed = typed.select("table_id", "headers", caption_dataset(F.col("caption")).alias("named"), model.alias("model"), places("dataset").alias("datasets"), places("score").alias("scores")).filter("model >= 0")
     cell = lambda i: F.trim(F.get("cells", i))
     read = rows.join(typed, "table_id").withColumn("source_name", F.lower(cell(F.col("model")))).filter(F.length("source_name") >= 2)
     dataset = F.get(F.filter(F.transform("datasets", lambda i: F.lower(cell(i))), lambda d: d.isNotNull() & (d != "")), F.lit(0))
-    read = read.withColumn("target_name", F.coalesce(dataset, "named", F.lit("unknown_dataset"))).withColumn("score_col", F.explode("scores")).withColumn("raw_score", cell(F.col("score_col")))
-    read = read.withColumn("metric_value", parse_score(F.col("raw_score"))).filter("metric_value is not null")
-    return read.select("table_id", "row_no", "score_col", "source_name", "target_name", F.get("headers", F.col("score_col")).alias("metric_name"), "metric_value", "raw_score")
+    scores = F.transform("scores", lambda i: F.struct(i.alias("score_col"), cell(i).alias("raw_score"), parse_score(cell(i)).alias("metric_value")))
+    read = read.withColumn("target_name", F.coalesce(dataset, "named", F.lit("unknown_dataset"))).withColumn("s", F.explode(scores)).filter("s.metric_value is not null")
+    return read.select("table_id", "row_no", "s.score_col", "source_name", "target_name", F.get("headers", F.col("s.score_col")).alias("metric_name"), "s.metric_value", "s.raw_score")
 
 
 def table_entities(results: DataFrame) -> DataFrame:
