@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from .analytics import acronym_definition
 from .graph import connected_components
+from .relational import spread
 
 #: A long form followed by its acronym in parentheses (fixed value).
 ACRONYM = r"^\s*([^()]+?)\s*\(([A-Za-z][A-Za-z0-9.-]{1,15})\)\s*$"
@@ -43,9 +44,14 @@ def resolve_entities(rows: DataFrame, keys: tuple[str, ...] = ("entity_type", "c
 
     ``rows`` has the keys, name, confidence and source_id. Ties go to the last name.
     """
+    # a source's rows meet in one task of many, where its first is marked; then only names are left
+    of_source = Window.partitionBy(*keys, "source_id")
+    each = spread(rows.select(*keys, "name", "confidence", "source_id"), *keys, "source_id").groupBy(*keys, "source_id", "name").agg(F.max("confidence").alias("confidence"), F.count("*").alias("_n"))
+    first = (F.row_number().over(of_source.orderBy("name")) == 1) & F.col("source_id").isNotNull()
+    named = each.withColumn("_first", first.cast("long")).groupBy(*keys, "name").agg(F.max("confidence").alias("confidence"), F.sum("_n").alias("_n"), F.sum("_first").alias("_sources"))
     best = F.max_by("name", F.struct("confidence", "name"))
-    return rows.groupBy(*keys).agg(
-        best.alias("name"), F.max("confidence").alias("confidence"), F.countDistinct("name").alias("alias_count"), F.countDistinct("source_id").alias("source_count"), F.count("*").alias("n_rows")
+    return named.groupBy(*keys).agg(
+        best.alias("name"), F.max("confidence").alias("confidence"), F.count("name").alias("alias_count"), F.sum("_sources").alias("source_count"), F.sum("_n").alias("n_rows")
     )
 
 
