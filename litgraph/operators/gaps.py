@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import cosine_similarity, dot
+from .graph import durable
+from .relational import joinable, spread
 
 #: Most gaps that are sent to every task at once.
 MOST_GAPS = 1_000
@@ -98,11 +100,16 @@ def bridge_hypothesis(names: DataFrame, entities: DataFrame, edges: DataFrame) -
     without regard to case; names that no entity has are passed over, those of one place go by id. Edges that exist, in
     either direction, and loops are left out.
     """
-    known = entities.groupBy(F.lower("name").alias("_key")).agg(F.min("id").alias("id"))
-    found = names.withColumn("_key", F.lower("name")).join(known, "_key").withColumn("_next", F.lead("id").over(Window.partitionBy("gap_id").orderBy("place", "id")))
+    known = durable(entities.groupBy(F.lower("name").alias("_key")).agg(F.min("id").alias("id")))
+    # names compress well and are put together to few tasks, which then hold far more than that
+    found = spread(names.withColumn("_key", F.lower("name")).join(joinable(known), "_key").select("gap_id", "place", "id"), "gap_id")
+    found = found.withColumn("_next", F.lead("id").over(Window.partitionBy("gap_id").orderBy("place", "id")))
     pairs = found.filter("_next is not null and _next <> id").select("gap_id", F.col("id").alias("source_id"), F.col("_next").alias("target_id")).distinct()
     old = edges.select("source_id", "target_id").union(edges.select("target_id", "source_id"))
-    return pairs.join(old, ["source_id", "target_id"], "left_anti").select("gap_id", "source_id", "target_id")
+    for end in ("source_id", "target_id"):  # edges of other ids can meet no pair
+        old = old.join(joinable(known.select(F.col("id").alias(end))), end, "left_semi")
+    old = durable(old.select("source_id", "target_id").distinct())
+    return pairs.join(joinable(old), ["source_id", "target_id"], "left_anti").select("gap_id", "source_id", "target_id")
 
 
 def gap_trace(edges: DataFrame, names: DataFrame, gaps: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import centrality as C
 from ..operators import gaps as K
 from ..operators import graph as G
+from ..operators.relational import joinable
 from .registry import GAPS_SQL, co_edges, query
 
 
@@ -136,7 +137,8 @@ def k6_gap_frontier_scores(g):
 @query("WITH n AS (SELECT l_orderkey AS gap_id, l_linenumber AS place, upper(p_name) AS name FROM lineitem JOIN part ON p_partkey = l_partkey), k AS (SELECT lower(p_name) AS key, min('C' || p_partkey) AS id FROM part GROUP BY 1), f AS (SELECT gap_id, id, lead(id) OVER (PARTITION BY gap_id ORDER BY place, id) AS nx FROM n JOIN k ON key = lower(name)), p AS (SELECT DISTINCT gap_id, id AS source_id, nx AS target_id FROM f WHERE nx IS NOT NULL AND nx <> id), old AS (SELECT 'C' || p_partkey AS a, 'C' || (p_partkey + 3) AS b FROM part) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM old WHERE (a = source_id AND b = target_id) OR (b = source_id AND a = target_id))", views=False)
 def k8_apply_bridge_hypothesis(g):
     part = g.table("part")
-    names = g.table("lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), F.upper("p_name").alias("name")), "l_partkey").select(F.col("l_orderkey").alias("gap_id"), F.col("l_linenumber").alias("place"), "name")
+    called = joinable(part.select(F.col("p_partkey").alias("l_partkey"), F.upper("p_name").alias("name")))
+    names = g.table("lineitem").join(called, "l_partkey").select(F.col("l_orderkey").alias("gap_id"), F.col("l_linenumber").alias("place"), "name")
     entities = part.select(g.key("C", "p_partkey").alias("id"), F.col("p_name").alias("name"))
     old = part.select(g.key("C", "p_partkey").alias("source_id"), F.concat(F.lit("C"), (F.col("p_partkey") + 3).cast("string")).alias("target_id"))
     return K.bridge_hypothesis(names, entities, old)
