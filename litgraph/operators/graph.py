@@ -14,6 +14,7 @@ from .relational import incident_edges
 
 #: Setting by which the shuffle files of an execution are removed at its end; it holds for DataFrames made while it is set.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ADAPTIVE, PARTITIONS = "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"
 #: Edges of a graph that are worth a task of their own.
 PART_EDGES = 200_000
 
@@ -29,19 +30,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Writes ``df`` to the checkpoint folder that the whole cluster shares and reads it from there.
 
-    Its shuffle files go as soon as it is written, not when the driver happens to collect garbage.
+    Its shuffle files go as soon as it is written, not when the driver happens to collect garbage. With ``parts``, every shuffle
+    makes that many partitions and Spark knows how what it reads was dealt and sorted, which it forgets of plans that it adapts while they run.
     """
     spark = df.sparkSession
     shared_folder(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true", **({ADAPTIVE: "false", PARTITIONS: str(parts)} if parts else {})}
+    before = {k: spark.conf.get(k, "false") if k == CLEANUP else spark.conf.get(k) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         return df.select("*").checkpoint()
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -95,17 +100,17 @@ def degree(edges: DataFrame, distinct: bool = False) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """Undirected PageRank of a fixed number of rounds, scaled by its greatest value; nodes without edges are not in it."""
-    links = incident_edges(edges).select("id", "other")
-    out = links.groupBy("id").agg(F.count("*").alias("out"))
-    # dealt by node once: in each round only the contributions move
-    links = durable(links.join(out, "id").repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"))
-    n = out.count()
-    ranks = out.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, 1 + 2 * edges.count() // PART_EDGES)
+    links = incident_edges(edges).select("id", "other").withColumn("out", F.count("*").over(Window.partitionBy("id")))
+    links = durable(links, parts)  # dealt and sorted by node once: in each round only the contributions move
+    nodes = links.select("id").distinct()
+    n = nodes.count()
+    ranks = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(rounds):
-        sent = links.join(ranks, "id").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("s"))
+        sent = links.join(ranks.hint("merge"), "id").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("s"))
         ranks = sent.select("id", ((1 - damping) / max(n, 1) + damping * F.col("s")).alias("rank"))
-        if i % 5 == 4:
-            ranks = durable(ranks)
+        if i % 5 == 4 or i == rounds - 1:
+            ranks = durable(ranks, parts)
     greatest = ranks.agg(F.max("rank").alias("m"))
     return ranks.crossJoin(F.broadcast(greatest)).select("id", (F.col("rank") / F.col("m")).alias("pagerank"))
 

@@ -2,7 +2,9 @@
 
 import random
 
-from litgraph.operators import gaps
+from pyspark.sql import functions as F
+
+from litgraph.operators import gaps, graph
 from litgraph.operators.relational import joinable
 
 
@@ -33,3 +35,31 @@ def test_hypotheses_are_dealt_by_gap_and_only_meet_edges_of_named_ids(spark):
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
     assert got.rdd.getNumPartitions() == 8  # as many as the session's shuffle partitions, not put together
     assert "Range" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_and_ranks_stay_dealt_from_round_to_round(spark):
+    settings = {k: spark.conf.get(k) for k in (graph.ADAPTIVE, graph.PARTITIONS)}
+    links = graph.durable(spark.range(100).selectExpr("cast(id % 7 as string) AS id", "id AS other").groupBy("id").agg(F.sum("other").alias("out")), 5)
+    ranks = graph.durable(links.groupBy("id").agg(F.max("out").alias("rank")), 5)
+    assert {k: spark.conf.get(k) for k in settings} == settings
+    joined = links.join(ranks.hint("merge"), "id")
+    assert links.rdd.getNumPartitions() == ranks.rdd.getNumPartitions() == 5
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id"], r["out"]) for r in joined.collect()} == {(str(i), sum(range(i, 100, 7))) for i in range(7)}
+
+
+def test_pagerank_of_rounds_that_five_does_not_divide(spark):
+    rng = random.Random(8)
+    edges = [(f"a{rng.randrange(20)}", f"a{rng.randrange(20)}") for _ in range(50)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        if a != b:
+            near.setdefault(b, []).append(a)
+    rank = dict.fromkeys(near, 1 / len(near))
+    for _ in range(7):
+        rank = {i: 0.15 / len(near) + 0.85 * sum(rank[j] / len(near[j]) for j in near for k in near[j] if k == i) for i in near}
+    frame = spark.createDataFrame(edges, "source_id string, target_id string").selectExpr("*", "'CITES' AS relationship_type", "1.0D AS weight")
+    got = {r["id"]: r["pagerank"] for r in graph.pagerank(frame, 7).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[i] - rank[i] / max(rank.values())) < 1e-9 for i in rank)
+    assert graph.pagerank(frame.limit(0)).count() == 0
