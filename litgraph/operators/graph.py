@@ -30,15 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame, parts: int | None = None) -> DataFrame:
+def durable(df: DataFrame, parts: int | None = None, dealt: bool = False) -> DataFrame:
     """Writes ``df`` to the checkpoint folder that the whole cluster shares and reads it from there.
 
     Its shuffle files go as soon as it is written, not when the driver happens to collect garbage. With ``parts``, every shuffle
-    makes that many partitions and Spark knows how what it reads was dealt and sorted, which it forgets of plans that it adapts while they run.
+    makes that many partitions. With ``dealt``, Spark knows how what it reads was dealt and sorted, which it forgets of plans that it adapts while they run.
     """
     spark = df.sparkSession
     shared_folder(spark)
-    settings = {CLEANUP: "true", **({ADAPTIVE: "false", PARTITIONS: str(parts)} if parts else {})}
+    settings = {CLEANUP: "true", **({PARTITIONS: str(parts)} if parts else {}), **({ADAPTIVE: "false"} if dealt else {})}
     before = {k: spark.conf.get(k, "false") if k == CLEANUP else spark.conf.get(k) for k in settings}
     try:
         for k, v in settings.items():
@@ -52,30 +52,32 @@ def durable(df: DataFrame, parts: int | None = None) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of undirected ``edges`` (u, v) as (id, component = smallest id reachable).
 
-    Alternates large-star and small-star steps, each one aggregation and one join, until
-    the edges stop changing. Neighbour lists are never gathered: a hub only takes part in
-    a map-side combined minimum and in a join that adaptive execution can split. Self
-    loops are ignored; ids that have no edge are not in the result.
+    In each round every node goes over to the first of itself and its neighbours in a random order, edges inside what became one
+    node go, and equal ones count once: edges shrink by a share in each round, until none is left. An order holds for two rounds,
+    after which a star is one node. Neighbour lists are never gathered: a hub only takes part in a map-side combined minimum
+    and in joins that adaptive execution can split. Self loops are ignored; ids that have no edge are not in the result.
     """
-    edges = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before, parts = None, 1 + edges.count() // PART_EDGES
+    ends = lambda df: df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges, went = durable(ends(edges)), []
+    most = parts = 1 + (left := edges.count()) // PART_EDGES
     few = lambda df: df.coalesce(parts)  # noqa: E731  # no more tasks than a small graph is worth
-    for _ in range(max_rounds):
+    while left or not went:
+        if len(went) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        place = lambda c: F.struct(F.xxhash64(c, F.lit(len(went) // 2)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = few(few(both).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = few(both.join(least, "u")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = few(few(large.union(least.filter("u > m").select("u", F.col("m").alias("v")))).distinct())
-        down = few(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = few(large.join(down, "u")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = durable(few(few(small.union(down.select("u", F.col("m").alias("v")))).distinct()))
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("v").alias("id")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+        first = few(few(both).groupBy("u").agg(F.min(place("v")).alias("m"))).select("u", F.least("m", place("u"))["id"].alias("m"))
+        went.append(first := durable(first, parts))
+        moved = few(edges.join(first, "u")).select(F.col("m").alias("u"), "v")
+        moved = few(moved.join(first.select(F.col("u").alias("v"), "m"), "v")).select("u", F.col("m").alias("v"))
+        edges = durable(few(ends(moved)), parts)
+        parts = 1 + (left := edges.count()) // PART_EDGES
+    parts = most
+    found = went.pop()
+    for first in reversed(went):
+        found = few(first.join(found.select(F.col("u").alias("m"), F.col("m").alias("_m")), "m", "left")).select("u", F.coalesce("_m", "m").alias("m"))
+    found = durable(found, parts)
+    return found.join(found.groupBy("m").agg(F.min("u").alias("component")), "m").select(F.col("u").alias("id"), "component")
 
 
 def multi_hop(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
@@ -102,7 +104,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     """Undirected PageRank of a fixed number of rounds, scaled by its greatest value; nodes without edges are not in it."""
     parts = max(edges.sparkSession.sparkContext.defaultParallelism, 1 + 2 * edges.count() // PART_EDGES)
     links = incident_edges(edges).select("id", "other").withColumn("out", F.count("*").over(Window.partitionBy("id")))
-    links = durable(links, parts)  # dealt and sorted by node once: in each round only the contributions move
+    links = durable(links, parts, dealt=True)  # dealt and sorted by node once: in each round only the contributions move
     nodes = links.select("id").distinct()
     n = nodes.count()
     ranks = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
@@ -110,7 +112,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
         sent = links.join(ranks.hint("merge"), "id").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("s"))
         ranks = sent.select("id", ((1 - damping) / max(n, 1) + damping * F.col("s")).alias("rank"))
         if i % 5 == 4 or i == rounds - 1:
-            ranks = durable(ranks, parts)
+            ranks = durable(ranks, parts, dealt=True)
     greatest = ranks.agg(F.max("rank").alias("m"))
     return ranks.crossJoin(F.broadcast(greatest)).select("id", (F.col("rank") / F.col("m")).alias("pagerank"))
 

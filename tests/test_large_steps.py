@@ -39,8 +39,8 @@ def test_hypotheses_are_dealt_by_gap_and_only_meet_edges_of_named_ids(spark):
 
 def test_links_and_ranks_stay_dealt_from_round_to_round(spark):
     settings = {k: spark.conf.get(k) for k in (graph.ADAPTIVE, graph.PARTITIONS)}
-    links = graph.durable(spark.range(100).selectExpr("cast(id % 7 as string) AS id", "id AS other").groupBy("id").agg(F.sum("other").alias("out")), 5)
-    ranks = graph.durable(links.groupBy("id").agg(F.max("out").alias("rank")), 5)
+    links = graph.durable(spark.range(100).selectExpr("cast(id % 7 as string) AS id", "id AS other").groupBy("id").agg(F.sum("other").alias("out")), 5, dealt=True)
+    ranks = graph.durable(links.groupBy("id").agg(F.max("out").alias("rank")), 5, dealt=True)
     assert {k: spark.conf.get(k) for k in settings} == settings
     joined = links.join(ranks.hint("merge"), "id")
     assert links.rdd.getNumPartitions() == ranks.rdd.getNumPartitions() == 5
@@ -63,3 +63,18 @@ def test_pagerank_of_rounds_that_five_does_not_divide(spark):
     got = {r["id"]: r["pagerank"] for r in graph.pagerank(frame, 7).collect()}
     assert got.keys() == rank.keys() and all(abs(got[i] - rank[i] / max(rank.values())) < 1e-9 for i in rank)
     assert graph.pagerank(frame.limit(0)).count() == 0
+
+
+def test_components_join_chains_stars_and_loops_in_few_small_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    chain = [f"c{i:03}" for i in rng.sample(range(200), 200)]
+    edges = [*zip(chain, chain[1:], strict=False), *((f"h{i}", "hub") for i in range(300)), ("b", "a"), ("a", "b"), ("a", "a"), ("only", "only")]
+    left = []
+    kept = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, parts=None, **k: left.append((df.columns, parts, out := kept(df, parts, **k))) or out)
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u string, v string")).collect()}
+    assert got == {**dict.fromkeys(chain, min(chain)), **dict.fromkeys(["hub", *(f"h{i}" for i in range(300))], "h0"), "a": "a", "b": "a"}
+    sizes = [df.count() for columns, _, df in left if columns == ["u", "v"]]
+    assert sizes[0] == 500 and sizes[-1] == 0 and sum(sizes) < 3 * sizes[0]  # before, all edges stayed in every round
+    assert all(parts == 1 for _, parts, _ in left[1:])  # small graphs are not dealt over the session's shuffle partitions
+    assert graph.components(spark.createDataFrame([], "u string, v string")).count() == 0
